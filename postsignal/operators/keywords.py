@@ -19,6 +19,13 @@ def term_stats(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def document_frequencies(posts: DataFrame, tokens: Column | None = None) -> DataFrame:
+    """``(term, df)`` alone: terms are made distinct in the row, without counting them."""
+    tokens = text.words(F.col("content")) if tokens is None else tokens
+    terms = posts.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
 def tfidf_weights(
     posts: DataFrame, tokens: Column | None = None, fit_on: DataFrame | None = None
 ) -> DataFrame:
@@ -32,14 +39,13 @@ def tfidf_weights(
     terms give hot partitions on the post side only, which adaptive execution splits.
     """
     fitted = posts if fit_on is None else fit_on
-    frequencies = term_stats(term_counts(fitted, tokens)).select("term", "df")
     n_posts = fitted.agg(F.count("*")).scalar()
     idf = F.log((F.lit(1) + n_posts) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
     per_post = Window.partitionBy("post_id")
     raw = F.col("_raw")
     return (
         term_counts(posts, tokens)
-        .join(frequencies, "term")
+        .join(document_frequencies(fitted, tokens), "term")
         .withColumn("_raw", F.col("tf") * idf)
         .withColumn("weight", raw / F.sqrt(F.sum(raw * raw).over(per_post)))
         .select("post_id", "term", "tf", "df", "weight")

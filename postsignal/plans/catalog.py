@@ -342,9 +342,9 @@ def topic_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trend_score_table(spark: SparkSession, folder: str) -> DataFrame:
-    posts = tables.posts(spark, folder, hourly=True)
     dated = _dated(spark, folder)
-    return trend.trend_scores(dated, tables.keyword_topics(_kept(posts)), rolling.grid(dated))
+    topics_of = written(tables.keyword_topics(_kept(tables.posts(spark, folder, hourly=True))))
+    return trend.trend_scores(dated, topics_of, rolling.grid(dated))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.votes import vote_counts
@@ -42,6 +42,10 @@ def posts(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
     """Documents with the votes of their comments, dated by the first comment.
 
     ``hourly`` cuts the date to the hour, which puts many posts exactly on window borders.
+
+    The documents are partitioned by post up front. The join with the votes needs that anyhow once
+    these are too many to broadcast, later steps per post find it in place, and a table that comes
+    as one row group is spread over all cores.
     """
     votes = (
         comments(spark, folder)
@@ -58,17 +62,15 @@ def posts(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
         F.concat(F.lit("https://board.example/post/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("text").alias("content"),
     )
-    return docs.join(votes, "post_id")
+    return docs.repartition("post_id").join(votes, "post_id")
 
 
 def keyword_topics(kept: DataFrame, n_topics: int = 20) -> DataFrame:
     """A fixed assignment ``(post_id, topic, p)``: each keyword votes for a topic by its MD5."""
     topic = (F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("long") % n_topics).alias("topic")
     per_topic = kept.groupBy("post_id", topic).agg(F.count("*").alias("n"))
-    total = kept.groupBy("post_id").agg(F.count("*").alias("total"))
-    return per_topic.join(total, "post_id").select(
-        "post_id", "topic", (F.col("n") / F.col("total")).alias("p")
-    )
+    total = F.sum("n").over(Window.partitionBy("post_id"))
+    return per_topic.select("post_id", "topic", (F.col("n") / total).alias("p"))
 
 
 def _escaped(text: Column) -> Column:
@@ -132,7 +134,7 @@ def board_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</body></html>"),
     )
     gate = F.lit('<html><body><div class="over18-notice">18?</div></body></html>')
-    return docs.join(pushes, "post_id").select(
+    return docs.repartition("post_id").join(pushes, "post_id").select(
         F.col("post_id").alias("page_id"),
         F.concat(F.lit("https://board.example/post/"), F.col("post_id").cast("string")).alias("url"),
         F.when(n == 49, gate).otherwise(html).alias("html"),
