@@ -89,38 +89,50 @@ def segmented(text: Column) -> Column:
     return F.array_join(segments(text), " ")
 
 
-def term_runs(tokens: Column, positions: bool = False) -> Column:
-    """Distinct terms of one token array: ``array<struct<term, tf, first_pos>>``.
+def term_frequencies(tokens: Column) -> Column:
+    """Distinct terms of one token array with their counts: ``array<struct<term, tf>>``.
 
-    Sorting the array and cutting it where the term changes counts terms inside the row, so the
-    counts need no shuffle at all. ``first_pos`` is the position of the first occurrence, from 0.
-    With ``positions`` each struct also has the list of all positions.
+    The array is sorted and cut where the term changes, so counting happens inside the row and
+    needs no shuffle.
     """
-    placed = F.array_sort(
-        F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    )
 
     # A one-element array around an expression binds it to a lambda variable: it is then
     # evaluated once per row and not once per use.
-    def runs(ordered: Column) -> Column:
+    def cut(ordered: Column) -> Column:
+        starts = F.filter(
+            F.transform(ordered, lambda _, i: i),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda a, k: one(ordered, s, a, k)))[0]
+
+    def one(ordered: Column, starts: Column, start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(ordered))
+        return F.struct(
+            F.get(ordered, start).alias("term"), (end - start).cast("long").alias("tf")
+        )
+
+    return F.transform(F.array(F.sort_array(tokens)), cut)[0]
+
+
+def term_places(tokens: Column) -> Column:
+    """Distinct terms with all their positions from 0: ``array<struct<term, positions>>``.
+
+    The same cut as in ``term_frequencies``, over pairs of term and position.
+    """
+    pairs = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+
+    def cut(ordered: Column) -> Column:
         starts = F.filter(
             F.transform(ordered, lambda _, i: i),
             lambda i: (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]),
         )
-        return F.transform(F.array(starts), lambda s: cut(ordered, s))[0]
-
-    def cut(ordered: Column, starts: Column) -> Column:
-        def one(start: Column, k: Column) -> Column:
-            length = F.coalesce(F.get(starts, k + 1), F.size(ordered)) - start
-            fields = [
-                F.get(ordered, start)["term"].alias("term"),
-                length.cast("long").alias("tf"),
-                F.get(ordered, start)["pos"].alias("first_pos"),
-            ]
-            if positions:
-                fields.append(F.slice(ordered, start + 1, length)["pos"].alias("positions"))
-            return F.struct(*fields)
-
-        return F.transform(starts, one)
-
-    return F.transform(F.array(placed), runs)[0]
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda a, k: one(ordered, s, a, k)))[0]
+
+    def one(ordered: Column, starts: Column, start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(starts, k + 1), F.size(ordered))
+        return F.struct(
+            F.get(ordered, start)["term"].alias("term"),
+            F.slice(ordered, start + 1, end - start)["pos"].alias("positions"),
+        )
+
+    return F.transform(F.array(F.sort_array(pairs)), cut)[0]

@@ -12,20 +12,22 @@ from .ranking import ordered_rank
 MAX_CATEGORIES = 1_000
 
 
-def _runs(docs: DataFrame, positions: bool = False) -> DataFrame:
+def _places(docs: DataFrame) -> DataFrame:
     tokens = text.encoder_words(F.col("cleaned"))
-    return docs.select("post_id", F.inline(text.term_runs(tokens, positions)))
+    return docs.select("post_id", F.inline(text.term_places(tokens)))
 
 
 def first_seen(docs: DataFrame) -> DataFrame:
-    """``(term, first_doc, first_pos)`` over ``docs(post_id, cleaned)``, posts taken in id order."""
+    """``(term, first_doc, first_pos)`` over ``docs(post_id, cleaned)``, posts taken in id order.
+
+    ``array_distinct`` keeps first occurrences in order, so the place among a post's distinct
+    terms orders them like the place in its text.
+    """
+    tokens = text.encoder_words(F.col("cleaned"))
     return (
-        _runs(docs)
+        docs.select("post_id", F.posexplode(F.array_distinct(tokens)).alias("pos", "term"))
         .groupBy("term")
-        .agg(
-            F.min("post_id").alias("first_doc"),
-            F.min_by("first_pos", "post_id").alias("first_pos"),
-        )
+        .agg(F.min("post_id").alias("first_doc"), F.min_by("pos", "post_id").alias("first_pos"))
     )
 
 
@@ -55,8 +57,7 @@ def encoded_docs(docs: DataFrame, vocab: DataFrame, length: Column | None = None
     arrays as long as their texts, which is what a large job should store.
     """
     known = (
-        _runs(docs, positions=True)
-        .select("post_id", "term", "positions")
+        _places(docs)
         .join(vocab, "term", "left")
         .select("post_id", "positions", F.coalesce("term_id", F.lit(0)).alias("term_id"))
     )

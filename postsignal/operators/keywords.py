@@ -11,7 +11,7 @@ from ..functions import text
 def term_counts(posts: DataFrame, tokens: Column | None = None) -> DataFrame:
     """``(post_id, term, tf)``. Counted inside each row: no shuffle."""
     tokens = text.words(F.col("content")) if tokens is None else tokens
-    return posts.select("post_id", F.inline(text.term_runs(tokens))).select("post_id", "term", "tf")
+    return posts.select("post_id", F.inline(text.term_frequencies(tokens)))
 
 
 def term_stats(counts: DataFrame) -> DataFrame:
@@ -34,9 +34,11 @@ def tfidf_weights(
     Frequencies come from ``fit_on``, by default from ``posts`` themselves, in which case later
     posts influence earlier ones. Terms that ``fit_on`` lacks are dropped.
 
-    The only large join is on the term. It is an ordinary equi-join: the frequency table is
-    broadcast if its measured size allows; otherwise both sides are shuffled, where very common
-    terms give hot partitions on the post side only, which adaptive execution splits.
+    The only large join is on the term. The frequency table is broadcast if its measured size
+    allows; otherwise both sides are shuffled, where very common terms give hot partitions on the
+    post side only, which adaptive execution splits. Every term has a frequency when the posts are
+    their own fit, so an outer join gives the same rows, and it keeps Spark from broadcasting the
+    post side, whose size it underestimates after the explode.
     """
     fitted = posts if fit_on is None else fit_on
     n_posts = fitted.agg(F.count("*")).scalar()
@@ -45,7 +47,7 @@ def tfidf_weights(
     raw = F.col("_raw")
     return (
         term_counts(posts, tokens)
-        .join(document_frequencies(fitted, tokens), "term")
+        .join(document_frequencies(fitted, tokens), "term", "left" if fit_on is None else "inner")
         .withColumn("_raw", F.col("tf") * idf)
         .withColumn("weight", raw / F.sqrt(F.sum(raw * raw).over(per_post)))
         .select("post_id", "term", "tf", "df", "weight")

@@ -323,14 +323,15 @@ def score_window(spark: SparkSession, folder: str) -> DataFrame:
 def window_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """Number of dictionary terms of every window."""
     posts = tables.posts(spark, folder, hourly=True)
-    found = topics.dictionary(_kept(posts), posts, rolling.grid(_dated(spark, folder)))
+    found = topics.dictionary(_kept(posts), _dated(spark, folder), rolling.grid(_dated(spark, folder)))
     return found.groupBy("window_id").agg(F.count("*").alias("n_terms"))
 
 
 @query
 def bag_of_words(spark: SparkSession, folder: str) -> DataFrame:
-    posts = tables.posts(spark, folder, hourly=True)
-    return topics.bag_of_words(_kept(posts), posts, rolling.grid(_dated(spark, folder)))
+    kept = written(_kept(tables.posts(spark, folder, hourly=True)))
+    dated = _dated(spark, folder)
+    return topics.bag_of_words(kept, dated, rolling.grid(dated))
 
 
 @query

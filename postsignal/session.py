@@ -19,6 +19,8 @@ def session(app: str = "postsignal", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Sizes measured at run time may go higher than the ones guessed beforehand (10 MB).
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
         "spark.sql.parquet.filterPushdown": "true",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
