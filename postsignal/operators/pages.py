@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar, html, urls, votes
@@ -42,20 +42,28 @@ def without_gates(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
     return pages.filter(~F.col("html").contains(layout.gate))
 
 
+def _kept_records(pages: DataFrame, record: Column, whole, shown=None) -> DataFrame:
+    """One row per page whose ``record`` struct passes ``whole``, with its fields as columns.
+
+    A filter on computed columns would be pushed below their projection and compute all of them a
+    second time. Here the record is one array element, computed once per page.
+    """
+    records = F.filter(F.array(record), whole)
+    return pages.select(F.inline(records if shown is None else F.transform(records, shown)))
+
+
 def page_titles(pages: DataFrame, layout: Layout) -> DataFrame:
-    """``pages`` with a ``title``; a page without one is dropped."""
-    titled = without_gates(pages, layout).withColumn(
-        "title", html.decoded(html.first(F.col("html"), layout.title))
-    )
-    return titled.filter(F.col("title").isNotNull())
+    """``(page_id, url, title, html)``; a page without a title is dropped."""
+    title = html.decoded(html.first(F.col("html"), layout.title)).alias("title")
+    record = F.struct("page_id", "url", title, "html")
+    return _kept_records(without_gates(pages, layout), record, lambda r: r["title"].isNotNull())
 
 
 def page_bodies(pages: DataFrame, layout: Layout) -> DataFrame:
-    """``pages`` with their ``content``; a page without both markers is dropped."""
-    cut = without_gates(pages, layout).withColumn(
-        "content", html.body_text(F.col("html"), layout.body_start, layout.footer)
-    )
-    return cut.filter(F.col("content").isNotNull())
+    """``(page_id, url, content)``; a page without both markers is dropped."""
+    body = html.body_text(F.col("html"), layout.body_start, layout.footer).alias("content")
+    record = F.struct("page_id", "url", body)
+    return _kept_records(without_gates(pages, layout), record, lambda r: r["content"].isNotNull())
 
 
 def posts_from_pages(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
@@ -66,43 +74,57 @@ def posts_from_pages(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
     """
     source = F.col("html")
     pieces = F.split(source, layout.comment_open)
-    blocks = F.slice(pieces, F.lit(2), F.size(pieces))
 
-    def comment(block):
+    def found(block: Column) -> Column:
         return F.struct(
             html.decoded(html.first(block, layout.comment_user)).alias("user"),
             html.decoded(html.first(block, layout.comment_text)).alias("content"),
-            votes.vote_code(html.first(block, layout.comment_tag)).alias("score"),
-            html.first(block, layout.comment_tag).isNull().alias("broken"),
+            html.first(block, layout.comment_tag).alias("tag"),
         )
 
-    parts = (
-        page_titles(pages, layout)
-        .withColumn("_meta", html.every(source, layout.meta))
-        .withColumn("author", html.decoded(F.get("_meta", F.lit(layout.author_at))))
-        .withColumn("posted_at", calendar.board_time(F.get("_meta", F.lit(layout.date_at))))
-        .withColumn("content", html.body_text(source, layout.body_start, layout.footer))
-        .withColumn("_comments", F.transform(blocks, comment))
-        .filter(
-            F.col("author").isNotNull()
-            & F.col("posted_at").isNotNull()
-            & F.col("content").isNotNull()
-            & ~F.exists(
-                "_comments", lambda c: c["broken"] | c["user"].isNull() | c["content"].isNull()
-            )
-        )
-    )
-    return parts.withColumn("comments", F.transform("_comments", lambda c: c.dropFields("broken"))).select(
+    record = F.struct(
         "page_id",
         "url",
-        "title",
-        "author",
-        "posted_at",
-        "content",
-        "comments",
-        votes.total_score(F.col("comments")).alias("score"),
+        html.decoded(html.first(source, layout.title)).alias("title"),
+        F.transform(html.every(source, layout.meta), html.decoded).alias("meta"),
+        html.body_text(source, layout.body_start, layout.footer).alias("content"),
+        F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), found).alias("comments"),
     )
 
+    def whole(r: Column) -> Column:
+        broken = F.exists(
+            r["comments"], lambda c: c["user"].isNull() | c["content"].isNull() | c["tag"].isNull()
+        )
+        return (
+            r["title"].isNotNull()
+            & F.get(r["meta"], F.lit(layout.author_at)).isNotNull()
+            & calendar.board_time(F.get(r["meta"], F.lit(layout.date_at))).isNotNull()
+            & r["content"].isNotNull()
+            & ~broken
+        )
+
+    def shown(r: Column) -> Column:
+        comments = F.transform(
+            r["comments"],
+            lambda c: F.struct(
+                c["user"].alias("user"),
+                c["content"].alias("content"),
+                votes.vote_code(c["tag"]).alias("score"),
+            ),
+        )
+        return F.struct(
+            r["page_id"].alias("page_id"),
+            r["url"].alias("url"),
+            r["title"].alias("title"),
+            F.get(r["meta"], F.lit(layout.author_at)).alias("author"),
+            calendar.board_time(F.get(r["meta"], F.lit(layout.date_at))).alias("posted_at"),
+            r["content"].alias("content"),
+            comments.alias("comments"),
+        )
+
+    kept = _kept_records(without_gates(pages, layout), record, whole, shown)
+    return kept.withColumn("score", votes.total_score(F.col("comments")))
+
 
 def page_links(pages: DataFrame, domains: list[str], pattern: str = r'href="([^"]*)"') -> DataFrame:
     """One row per link of a page, in page order, made absolute and checked against the domains."""

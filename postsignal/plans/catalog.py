@@ -106,7 +106,7 @@ def posts_from_json(spark: SparkSession, folder: str) -> DataFrame:
     )
     path = shared_folder(spark)
     files.write_json_arrays(rows, path, "part")
-    read = files.read_json(spark, f"{path}/*/*")
+    read = files.read_json(spark, path)
     return read.select(
         "url",
         "title",
@@ -324,7 +324,7 @@ def window_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """Number of dictionary terms of every window."""
     posts = tables.posts(spark, folder, hourly=True)
     found = topics.dictionary(_kept(posts), _dated(spark, folder), rolling.grid(_dated(spark, folder)))
-    return found.groupBy("window_id").agg(F.count("*").alias("n_terms"))
+    return rolling.exploded(found).groupBy("window_id").agg(F.count("*").alias("n_terms"))
 
 
 @query

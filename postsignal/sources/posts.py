@@ -54,9 +54,15 @@ def write_json_arrays(posts: DataFrame, path: str, file_key: str) -> None:
         F.struct(*[c for c in posts.columns if c != file_key]), {"timestampNTZFormat": TIME_FORMAT}
     )
     arrays = posts.groupBy(file_key).agg(F.array_join(F.collect_list(record), ",\n").alias("rows"))
-    arrays.select(file_key, F.concat(F.lit("["), "rows", F.lit("]")).alias("value")).repartition(
-        file_key
-    ).write.partitionBy(file_key).text(path)
+    one_per_file = arrays.select(F.concat(F.lit("["), "rows", F.lit("]")).alias("value"))
+    one_per_file.write.option("maxRecordsPerFile", 1).text(path)
+
+
+def write_epochs(batches: DataFrame, path: str) -> None:
+    """Shuffled batches for a trainer: one folder per epoch, its files in batch order."""
+    batches.repartitionByRange("epoch", "batch").sortWithinPartitions(
+        "epoch", "batch", "rank"
+    ).write.partitionBy("epoch").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

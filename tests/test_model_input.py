@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postsignal.operators import encode, filters, keywords, ranking, split
+from postsignal.sources.posts import write_epochs
 
 
 def contents(spark, texts, name="content"):
@@ -142,6 +143,14 @@ def test_batches_hold_every_row_once_per_epoch(spark):
     assert all(sorted(o) == list(range(128)) for o in orders) and len(set(orders)) == 3
 
 
+def test_epoch_folders(spark, tmp_path):
+    batches = split.epoch_batches(spark.range(100).withColumnRenamed("id", "post_id"), size=8, epochs=2)
+    write_epochs(batches, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").glob("epoch=*")) == ["epoch=0", "epoch=1"]
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.select("epoch", "batch", "post_id").exceptAll(batches.select("epoch", "batch", "post_id")).count() == 0
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_ordered_rank_with_a_hot_first_column(spark, hot):
     rng = random.Random(4)
