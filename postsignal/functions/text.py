@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,17 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 ENCODER_PATTERN = r"['\p{L}\p{N}_-]+"
 SEGMENT_PATTERN = r"[\p{L}\p{N}_]+|\S"
 HAN_RUN_PATTERN = r"(\p{IsHan}+)"
+# The white space that stripping removes, and a bound below which no character is Han.
+BLANKS = " \t\n\x0b\f\r"
+BEFORE_HAN = "\u2e80"
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it.
+
+    The value becomes the element of a one-element array, and so a lambda variable.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def _all_matches(text: Column, pattern: str) -> Column:
@@ -43,9 +56,16 @@ def clean_text(text: Column) -> Column:
     for old, new in CLEANING_LITERALS:
         out = F.replace(out, F.lit(old), F.lit(new))
     out = F.regexp_replace(out, r"\s{2,}", " ")
-    # The look-behind starts a match only where a piece starts, so long pieces stay linear.
-    out = F.regexp_replace(out, r"(?<!\S)\S*(?:xx|XX)\S*", "xxx")
-    return F.lower(F.regexp_replace(out, r"^\s+|\s+$", ""))
+    return F.lower(F.btrim(_bound(out, _without_doubled_x), F.lit(BLANKS)))
+
+
+def _without_doubled_x(text: Column) -> Column:
+    """Most texts have no such pair, so the pattern is tried only where a plain search finds one.
+
+    The look-behind starts a match only where a piece starts, so long pieces stay linear.
+    """
+    found = text.contains("xx") | text.contains("XX")
+    return F.when(found, F.regexp_replace(text, r"(?<!\S)\S*(?:xx|XX)\S*", "xxx")).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -72,7 +92,7 @@ def segments(text: Column) -> Column:
     pieces = _all_matches(spaced, SEGMENT_PATTERN)
 
     def pairs(piece: Column) -> Column:
-        han = piece.rlike(r"^\p{IsHan}{2,}$")
+        han = (piece >= BEFORE_HAN) & piece.rlike(r"^\p{IsHan}{2,}$")
         return F.when(
             han,
             F.transform(
@@ -96,14 +116,12 @@ def term_frequencies(tokens: Column) -> Column:
     needs no shuffle.
     """
 
-    # A one-element array around an expression binds it to a lambda variable: it is then
-    # evaluated once per row and not once per use.
     def cut(ordered: Column) -> Column:
         starts = F.filter(
             F.transform(ordered, lambda _, i: i),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-        return F.transform(F.array(starts), lambda s: F.transform(s, lambda a, k: one(ordered, s, a, k)))[0]
+        return _bound(starts, lambda s: F.transform(s, lambda a, k: one(ordered, s, a, k)))
 
     def one(ordered: Column, starts: Column, start: Column, k: Column) -> Column:
         end = F.coalesce(F.get(starts, k + 1), F.size(ordered))
@@ -111,7 +129,7 @@ def term_frequencies(tokens: Column) -> Column:
             F.get(ordered, start).alias("term"), (end - start).cast("long").alias("tf")
         )
 
-    return F.transform(F.array(F.sort_array(tokens)), cut)[0]
+    return _bound(F.sort_array(tokens), cut)
 
 
 def term_places(tokens: Column) -> Column:
@@ -126,7 +144,7 @@ def term_places(tokens: Column) -> Column:
             F.transform(ordered, lambda _, i: i),
             lambda i: (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]),
         )
-        return F.transform(F.array(starts), lambda s: F.transform(s, lambda a, k: one(ordered, s, a, k)))[0]
+        return _bound(starts, lambda s: F.transform(s, lambda a, k: one(ordered, s, a, k)))
 
     def one(ordered: Column, starts: Column, start: Column, k: Column) -> Column:
         end = F.coalesce(F.get(starts, k + 1), F.size(ordered))
@@ -135,4 +153,4 @@ def term_places(tokens: Column) -> Column:
             F.slice(ordered, start + 1, end - start)["pos"].alias("positions"),
         )
 
-    return F.transform(F.array(F.sort_array(pairs)), cut)[0]
+    return _bound(F.sort_array(pairs), cut)
