@@ -22,8 +22,8 @@ def news_posts(posts: DataFrame) -> DataFrame:
     return posts.filter(is_news(F.col("title")))
 
 
-def keep_last(posts: DataFrame, cols: list[str], key: str = "post_id") -> DataFrame:
-    """One row per distinct value of ``cols``: the one with the largest ``key``.
+def keep_last(posts: DataFrame, cols: list[str] | None = None, key: str = "post_id") -> DataFrame:
+    """One row per distinct value of ``cols``, by default all but the key: the largest ``key``'s.
 
     Rows are grouped by a 256-bit digest, so neither the grouping nor its shuffle moves texts, and
     the maximum is combined before the shuffle, so a text with very many copies costs no more than
@@ -37,7 +37,7 @@ def keep_last(posts: DataFrame, cols: list[str], key: str = "post_id") -> DataFr
                 F.col(c).cast("string"),
             )
         )
-        for c in cols
+        for c in (cols or [c for c in posts.columns if c != key])
     ]
     kept = (
         posts.groupBy(F.sha2(F.concat(*parts), 256).alias("_digest"))

@@ -33,6 +33,10 @@ BOARD = Layout(
     body_start="article-meta-value",
     footer=r"批踢踢實業坊\(ptt.cc\)",
 )
+# Links of the board's list pages; any link at all is ``ANY_LINKS``.
+BOARD_LINKS = r'<div class="title">\s*<a[^>]*href="([^"]*)"'
+ANY_LINKS = r'href="([^"]*)"'
+
 # Plain article pages: no author, date or comments.
 ARTICLE = Layout(title=r"<title>([^<]*)</title>", body_start="<article", footer="&copy;")
 
@@ -126,7 +130,7 @@ def posts_from_pages(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
     return kept.withColumn("score", votes.total_score(F.col("comments")))
 
 
-def page_links(pages: DataFrame, domains: list[str], pattern: str = r'href="([^"]*)"') -> DataFrame:
+def page_links(pages: DataFrame, domains: list[str], pattern: str = ANY_LINKS) -> DataFrame:
     """One row per link of a page, in page order, made absolute and checked against the domains."""
     links = pages.select(
         "page_id",

@@ -31,6 +31,11 @@ def test_keep_last_keeps_column_borders_apart(spark):
     assert sorted(r["post_id"] for r in filters.keep_last(df, ["x", "y"]).collect()) == [1, 3]
 
 
+def test_keep_last_of_whole_rows(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", 0)], "post_id long, x string, n int")
+    assert sorted(r["post_id"] for r in filters.keep_last(df).collect()) == [2, 3]
+
+
 def by_hand_tfidf(texts):
     docs = [Counter(t.split()) for t in texts]
     df = Counter(t for d in docs for t in d)

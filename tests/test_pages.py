@@ -66,3 +66,11 @@ def test_index_addresses(spark):
         ("https://b/", 25_006, 25_006, 2, 25_006),
         ("https://c/", 1, 1, None, None),
     }
+
+
+def test_links_of_a_list_page(spark):
+    entry = '<div class="r-ent"><div class="nrec">1</div><div class="title">\n\t{}</div></div>'
+    body = entry.format('<a href="/bbs/b/M.1.html">one</a>') + entry.format("(deleted)") + '<a href="/other">x</a>'
+    df = spark.createDataFrame([(1, "https://www.b.example/bbs/b/index2.html", body)], "page_id long, url string, html string")
+    got = [tuple(r) for r in pages.page_links(df, ["b.example"], pages.BOARD_LINKS).collect()]
+    assert got == [(1, 0, "/bbs/b/M.1.html", "https://www.b.example/bbs/b/M.1.html", "www.b.example", True)]
