@@ -14,7 +14,6 @@ from ..operators import (
     filters,
     keywords,
     pages,
-    ranking,
     regress,
     rolling,
     split,

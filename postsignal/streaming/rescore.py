@@ -18,7 +18,13 @@ def step_tallies(comments: DataFrame, step: str = "6 hours", late: str = "6 hour
         comments.withWatermark("ts", late)
         .groupBy(F.window("ts", step).alias("step"))
         .agg(*vote_counts(F.col("score")))
-        .select(F.col("step.start").alias("low"), F.col("step.end").alias("up"), "n_push", "n_hate", "n_neutral")
+        .select(
+            F.col("step.start").alias("low"),
+            F.col("step.end").alias("up"),
+            "n_push",
+            "n_hate",
+            "n_neutral",
+        )
     )
 
 
