@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, mixing
+from . import chunk_dedup, licenses, mixing, sketches
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,9 +22,19 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_dedup.groups(_read(spark, folder, "documents"))
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_read(spark, folder, "documents"))
+
+
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.fingerprints(_read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_licenses": op7_licenses,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
