@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, licenses, mixing, sketches
+from . import chunk_dedup, licenses, mixing, secrets, sketches, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,22 +18,38 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", "taken", "source", "first_at")
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find(_read(spark, folder, "documents")))
+
+
 def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_dedup.groups(_read(spark, folder, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    made = toxicity.score(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+    return made.select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_read(spark, folder, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(_read(spark, folder, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.fingerprints(_read(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op4_secrets": op4_secrets,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_licenses": op7_licenses,
+    "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
 }
 
