@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, licenses, mixing, secrets, sketches, toxicity, url_filter
+from . import chunk_dedup, licenses, mixing, ngram_join, pieces, secrets, sketches, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.components(_read(spark, folder, "documents"))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     made = mixing.mix(_read(spark, folder, "documents"))
     return made.select("doc_id", "size", "source_size", "target", "taken", "source", "first_at")
 
 
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded_and_decoded(_read(spark, folder, "documents"))
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find(_read(spark, folder, "documents")))
 
@@ -44,7 +52,9 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_secrets": op4_secrets,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_toxicity": op6_toxicity,
