@@ -186,12 +186,14 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _of_kind(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts per base kind, a digest of the base spans, and all spans as one string."""
     base = F.filter("spans", lambda s: s["kind"].isin(KINDS[:3]))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]
-    ]
+    counts = [_of_kind(k).alias(f"n_{k}") for k in KINDS[:3]]
     return found.select(
         "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")
     )
