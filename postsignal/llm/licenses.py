@@ -90,13 +90,18 @@ def _number(word: str) -> int:
     return VOCABULARY.index(word) + 1
 
 
+def _begins_by(word: str, place: int) -> Column:
+    """Where a sequence begins that has ``word`` at ``place``, for each place of the word."""
+    mine = F.filter("places", lambda p: p % _PLACE == _number(word))
+    return F.transform(mine, lambda p: F.shiftright(p, 10) - place)
+
+
 def _begins(phrase: list[str], df: dict[str, int]) -> Column:
     """Where ``phrase`` stands: begins on which its rarest words agree, then every word is verified."""
     rarest = sorted(range(len(phrase)), key=lambda i: (df.get(phrase[i], 0), i))[:RARE]
     agreed = None
     for i in rarest:
-        mine = F.filter("places", lambda p, n=_number(phrase[i]): p % _PLACE == n)
-        begin = F.transform(mine, lambda p, i=i: F.shiftright(p, 10) - i)
+        begin = _begins_by(phrase[i], i)
         agreed = begin if agreed is None else F.array_intersect(agreed, begin)
     rest = [i for i in range(len(phrase)) if i not in rarest]
     if not rest:

@@ -59,6 +59,10 @@ def _line() -> Column:
     return F.concat("host", "path")
 
 
+def _cut(at: Column, size: int) -> Column:
+    return F.transform(at, lambda i: F.substring("line", i, size))
+
+
 def sequences(labelled: DataFrame, order: int = ORDER, bound: int = BOUND) -> DataFrame:
     """``(ruled, seq, n)``: frequent character sequences of each class, counted over all its URLs."""
     line = F.concat(F.repeat(F.lit(BEGIN), order), _line(), F.lit(END))
@@ -67,8 +71,7 @@ def sequences(labelled: DataFrame, order: int = ORDER, bound: int = BOUND) -> Da
     for size in range(1, order + 2):
         # The last character of a sequence is one that is predicted, so none ends in BEGIN.
         at = F.sequence(F.lit(order + 2 - size), F.length("line") - size + 1)
-        seq = F.explode(F.transform(at, lambda i, size=size: F.substring("line", i, size)))
-        part = every.select("ruled", seq.alias("seq")).groupBy("ruled", "seq").count()
+        part = every.select("ruled", F.explode(_cut(at, size)).alias("seq")).groupBy("ruled", "seq").count()
         counted = part if counted is None else counted.unionByName(part)
     totals = every.groupBy("ruled").agg(F.sum(F.length("line") - order).alias("total"))
     return counted.join(F.broadcast(totals), "ruled").filter(F.col("count") * bound >= F.col("total")).select(
