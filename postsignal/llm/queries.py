@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, licenses, mixing, ngram_join, pieces, secrets, sketches, toxicity, url_filter
+from . import chunk_dedup, licenses, lm, mixing, ngram_join, pieces, secrets, sketches, toxicity, url_filter
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketches.fingerprints(_read(spark, folder, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(_read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_licenses": op7_licenses,
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
+    "op10_lm_scores": op10_lm_scores,
 }
 
 ORACLES: dict[str, str] = {
