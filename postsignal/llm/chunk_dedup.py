@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .names import unused
 from .words import SPACE
 
 LEAST, MOST, BITS = 256, 8192, 10
@@ -189,16 +190,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Texts move once, spread by text and id together, so copies do not meet in one task.
     """
-    keys = ["_sha", "_id", "_no_id"]
-    named = lambda sha: [sha.alias("_sha"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id")]
-    stays = groups(docs.select("doc_id", "text")).filter("kept").select(*named(F.col("text_sha256")))
+    p = unused(docs, "key_")
+    keys = [f"{p}sha", f"{p}id", f"{p}no_id"]
+
+    def keyed(sha: Column) -> list[Column]:
+        return [c.alias(k) for c, k in zip((sha, F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id")), keys)]
+
+    stays = groups(docs.select("doc_id", "text")).filter("kept").select(*keyed(F.col("text_sha256")))
     bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
     own = [F.col(f"`{c}`") for c in docs.columns]
     first = Window.partitionBy(*keys).orderBy(F.length("text").desc_nulls_last(), "text")
     return (
-        docs.select(*own, *named(F.sha2(bare, 256)))
+        docs.select(*own, *keyed(F.sha2(bare, 256)))
         .join(stays, keys, "left_semi")
-        .withColumn("_row", F.row_number().over(first))
-        .filter("_row = 1")
+        .withColumn(f"{p}row", F.row_number().over(first))
+        .filter(F.col(f"{p}row") == 1)
         .select(*own)
     )

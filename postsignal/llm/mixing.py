@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .names import unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -130,26 +131,26 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them: once per turn, the last turn cut after its last taken word.
 
-    Rows that share an id are one document here, so their columns are those of one of them.
+    Rows that share id, source and size share what is taken of them evenly.
     """
-    own = docs.columns
-    plan = mix(docs, **options).filter("taken > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken"
+    p = unused(docs, "mix_")
+    plan = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "size").agg(
+        F.ceil(F.sum("taken") / F.count("*")).cast("long").alias(f"{p}share")
     )
-    plan = plan.groupBy("_doc", "_source", "_size").agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
+    plan = plan.withColumnsRenamed({c: p + c for c in ("doc_id", "source", "size")})
+    sized = docs.withColumn(f"{p}words", words_in(F.col("text")))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_doc"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (words_in(F.col("text")) == F.col("_size"))
+        F.col("doc_id").eqNullSafe(F.col(f"{p}doc_id"))
+        & F.col("source").eqNullSafe(F.col(f"{p}source"))
+        & (F.col(f"{p}words") == F.col(f"{p}size"))
     )
-    joined = docs.join(plan, same)
-    share = F.ceil(F.col("_taken") / F.col("_rows")).cast("long")
-    turn = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(share / F.col("_size"))))
-    left = share - (F.col("_turn") - 1) * F.col("_size")
-    text = F.when(left >= F.col("_size"), F.col("text")).otherwise(first_words(F.col("text"), left))
-    out = joined.withColumn("_turn", turn).withColumn("_text", text)
-    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in own])
+    share, size, turn = F.col(f"{p}share"), F.col(f"{p}size"), F.col(f"{p}turn")
+    turns = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(share / size).cast("long")))
+    left = share - (turn - 1) * size
+    text = F.when(left >= size, F.col("text")).otherwise(first_words(F.col("text"), left))
+    out = sized.join(plan, same).withColumn(f"{p}turn", turns).withColumn(f"{p}text", text)
+    changed = {"text": F.col(f"{p}text"), "n_chars": F.length(f"{p}text").cast("long")}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def first_words(text: Column, n: Column) -> Column:

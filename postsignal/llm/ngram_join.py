@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .graph import connected
+from .names import unused
 from .words import chained, pieces, word_hashes
 
 HUBS = 3
@@ -276,5 +277,6 @@ def components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80)) -> DataFrame:
     """``docs`` with only the first document, by id, of each component; all columns are kept."""
     found = components(docs.select("doc_id", "text"), rule)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = unused(docs, "gone")
+    later = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(later, F.col("doc_id") == F.col(gone), "left_anti")

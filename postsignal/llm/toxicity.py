@@ -27,9 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .names import unused
 
 WORD = re.compile(r"\w+")
-SAMPLE, WINDOW, FEATURES, LEAST, SHARE, RATIO = 2000, 512, 4096, 4, 0.02, 4.0
+SAMPLE, WINDOW, FEATURES, LEAST, SHARE, RATIO = 2000, 256, 4096, 4, 0.02, 4.0
 LIMIT = 0.7
 
 
@@ -188,14 +191,20 @@ def fit_curve(rows: list[tuple[float, float, int, int]], weight: dict[int, float
     return beta.tolist()
 
 
-def tagged(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``(doc_id, n_words, expected, strongest, spans)``; nothing is shuffled."""
+SUMMARY = "n_words long, expected double, strongest double, spans array<struct<start: bigint, end: bigint>>"
+
+
+def tagged(docs: DataFrame, chain: Chain, prefix: str = "") -> DataFrame:
+    """``docs`` with ``n_words, expected, strongest, spans`` of its ``text``; nothing is shuffled."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    names = docs.columns
+    added = T.StructType([T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(SUMMARY)])
+    text_at = names.index("text")
 
     def run(batches):
         known: dict[str, float] = {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
             emissions = []
             for text in texts:
                 words = WORD.findall(text)
@@ -207,19 +216,15 @@ def tagged(docs: DataFrame, chain: Chain) -> DataFrame:
             likely = chain.marginals(emissions)
             spans = [_spans(t, p) if len(p) and p.max() >= 0.5 else [] for t, p in zip(texts, likely)]
             both = [summary(p) for p in likely]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(p) for p in likely], pa.int64()),
-                    pa.array([b[0] for b in both], pa.float64()),
-                    pa.array([b[1] for b in both], pa.float64()),
-                    pa.array(spans, span),
-                ],
-                ["doc_id", "n_words", "expected", "strongest", "spans"],
-            )
+            made = [
+                pa.array([len(p) for p in likely], pa.int64()),
+                pa.array([b[0] for b in both], pa.float64()),
+                pa.array([b[1] for b in both], pa.float64()),
+                pa.array(spans, span),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, *added.names])
 
-    schema = "doc_id long, n_words long, expected double, strongest double, spans array<struct<start: bigint, end: bigint>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *added]))
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict[str, int]]:
@@ -260,19 +265,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int
 
     rows = chosen.mapInArrow(cut, "words array<string>, label int").collect()
     chain = fit_chain([(r["words"], r["label"]) for r in rows])
-    seen = tagged(chosen, chain).select("doc_id", "n_words", "expected", "strongest").join(drawn, F.col("doc_id") == F.col("_doc"))
+    seen = tagged(chosen, chain).select("expected", "strongest", "n_words", "_label")
     numbers = sorted((r["expected"], r["strongest"], r["n_words"], r["_label"]) for r in seen.collect())
     taken = Counter(r[3] for r in numbers)
     return chain, fit_curve(numbers, {k: size.get(k, 1) / max(1, taken[k]) for k in (0, 1)})
 
 
+def _score(beta: list[float], prefix: str = "") -> Column:
+    expected, strongest, words = (F.col(prefix + c) for c in ("expected", "strongest", "n_words"))
+    top = F.least(F.greatest(strongest, F.lit(1e-4)), F.lit(1 - 1e-4))
+    spread = F.log((expected + 0.05) / (words + 25))
+    x = F.lit(beta[0]) + beta[1] * F.log(expected + 0.05) + beta[2] * F.log(top / (1 - top)) + beta[3] * spread
+    return 1 / (1 + F.exp(-x))
+
+
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted, n_words, spans)`` for each row of ``docs``."""
     chain, beta = learn(docs, labels, **options)
-    top = F.least(F.greatest(F.col("strongest"), F.lit(1e-4)), F.lit(1 - 1e-4))
-    spread = F.log((F.col("expected") + 0.05) / (F.col("n_words") + 25))
-    x = F.lit(beta[0]) + beta[1] * F.log(F.col("expected") + 0.05) + beta[2] * F.log(top / (1 - top)) + beta[3] * spread
-    made = tagged(docs, chain).withColumn("score", 1 / (1 + F.exp(-x)))
+    made = tagged(docs.select(F.col("doc_id").cast("long"), "text"), chain).withColumn("score", _score(beta))
     return made.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
@@ -281,3 +291,10 @@ def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         "n_words",
         "spans",
     )
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    chain, beta = learn(docs, labels, **options)
+    prefix = unused(docs, "tag_")
+    return tagged(docs, chain, prefix).filter(_score(beta, prefix) < LIMIT).select(*[F.col(f"`{c}`") for c in docs.columns])
