@@ -15,7 +15,8 @@ whole sequence as one). Two texts link when their sets' Jaccard similarity is at
 * Pairs are tried in two rounds. First each document of a prefix shingle is tried against that
   shingle's hubs, which joins groups of copies in one step each. Then all pairs whose documents are
   still in different components are tried, so no link between components is lost while a group never
-  unfolds into all its pairs.
+  unfolds into all its pairs. A pair is made only if a table of parities of the two sets allows a
+  link, which leaves out near misses before they become rows.
 
 Null or empty text, or only blanks: empty set, linked with nothing, its own component. Equal rows:
 linked. Rows that repeat an id: versions of one document, linked through it. Null id: takes part in no
@@ -38,8 +39,8 @@ from .graph import connected
 from .names import unused
 from .words import chained, pieces, word_hashes
 
-HUBS = 3
 ORDERS = 2
+PARITY = 16  # numbers of 64 cells
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,10 @@ def described(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
-    """``(doc, n, hashes)`` for the documents of ``wanted (doc)``, without moving any text.
+    """``(doc, n, hashes, parity)`` for the documents of ``wanted (doc)``, without moving any text.
+
+    ``parity`` says of 1,024 cells whether the set has an odd number of hashes there. Cells in which
+    two sets differ are at most as many as the shingles that only one of them has.
 
     A bit table of the wanted ids, of at most 2^24 bits whatever their number, picks the texts in the
     scan; the few others that pass are left out by the joins that follow.
@@ -141,15 +145,20 @@ def whole_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
             hit = np.flatnonzero((table[place >> 5] >> (place & 31)) & 1)
             for begin in range(0, len(hit), 500):
                 part = batch.take(pa.array(hit[begin : begin + 500]))
-                found = [None] * part.num_rows
+                found, parity = [None] * part.num_rows, [None] * part.num_rows
                 for row, hashes in shingle_sets(part.column(1), rule.words):
                     found[row] = hashes.view(np.int64)
+                    cell = (hashes >> np.uint64(20)).astype(np.int64) & (64 * PARITY - 1)
+                    parity[row] = np.packbits(np.bincount(cell, minlength=64 * PARITY).astype(np.uint8) & 1).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(f) for f in found])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), lists], ["doc", "n", "hashes"])
+                cells = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(parity), pa.int64()), PARITY).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.diff(ends), pa.int64()), lists, cells], ["doc", "n", "hashes", "parity"]
+                )
 
     seen = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return seen.withColumn("place", place).mapInArrow(run, "doc long, n long, hashes array<bigint>")
+    return seen.withColumn("place", place).mapInArrow(run, "doc long, n long, hashes array<bigint>, parity array<bigint>")
 
 
 def prefixes(classes: DataFrame, rule: Rule) -> DataFrame:
@@ -184,7 +193,7 @@ def prefixes(classes: DataFrame, rule: Rule) -> DataFrame:
     ]
     made = [F.concat(F.slice(ordered(k), 1, left), tail) for k in keys[:ORDERS]]
     placed = F.transform(made[0], lambda s, i: F.struct(s.alias("shingle"), (i + F.col("alone")).alias("place")))
-    return back.select("doc", "n", placed.alias("entries"), F.array(*made[1:]).alias("others")).filter(F.size("entries") > 0)
+    return back.select("doc", "n", "alone", placed.alias("entries"), F.array(*made[1:]).alias("others")).filter(F.size("entries") > 0)
 
 
 def _room(rule: Rule) -> Column:
@@ -197,6 +206,15 @@ def _room(rule: Rule) -> Column:
     )
 
 
+def _near(rule: Rule) -> Column:
+    """Whether the cells in which two sets differ leave enough for a link."""
+    differ = F.lit(0)
+    for k in range(PARITY):
+        differ = differ + F.bit_count(F.get("parity_a", F.lit(k)).bitwiseXOR(F.get("parity_b", F.lit(k))))
+    both = F.col("n_a") + F.col("n_b")
+    return (100 + rule.percent) * (both - differ) >= 2 * rule.percent * both
+
+
 def verified(pairs: DataFrame, held: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of ``pairs (a, b)`` that share a prefix shingle in every order and are similar enough."""
     other = held.select("doc", "others")
@@ -206,8 +224,8 @@ def verified(pairs: DataFrame, held: DataFrame, sets: DataFrame, rule: Rule) ->
     for k in range(ORDERS - 1):
         met = met & F.arrays_overlap(F.get("others_a", F.lit(k)), F.get("others_b", F.lit(k)))
     kept = written(pairs.distinct().join(a, "a").join(b, "b").filter(met).select("a", "b"))
-    set_a = sets.withColumnsRenamed({"doc": "a", "n": "n_a", "hashes": "h_a"})
-    set_b = sets.withColumnsRenamed({"doc": "b", "n": "n_b", "hashes": "h_b"})
+    set_a = sets.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
+    set_b = sets.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
     common = F.size(F.array_intersect("h_a", "h_b"))
     both = kept.join(set_a, "a").join(set_b, "b").withColumn("common", common)
     return both.filter(rule.links(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
@@ -217,16 +235,18 @@ def linked_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     """``(node, label)`` of the class representatives that link with another."""
     held = written(prefixes(classes, rule))
     sets = written(whole_sets(docs, rule, held.select("doc")))
-    entries = held.select("doc", "n", F.inline("entries"))
+    entries = held.select("doc", "n", "alone", F.inline("entries"))
+    # A document with few shingles of its own is likely what its neighbours were made from.
+    ranks = [F.struct("alone", "doc"), F.struct("alone", F.xxhash64("doc", F.lit(1))), F.xxhash64("doc", F.lit(2))]
     hubs = written(
         entries.groupBy("shingle")
         .agg(
             F.count("*").alias("members"),
-            *[F.min_by(F.struct("doc", "n", "place"), F.xxhash64("doc", F.lit(k))).alias(f"hub_{k}") for k in range(HUBS)],
+            *[F.min_by(F.struct("doc", "n", "place"), rank).alias(f"hub_{k}") for k, rank in enumerate(ranks)],
         )
         .filter("members > 1")
     )
-    hub = F.explode(F.array_distinct(F.array(*[F.col(f"hub_{k}") for k in range(HUBS)]))).alias("hub")
+    hub = F.explode(F.array_distinct(F.array(*[F.col(f"hub_{k}") for k in range(len(ranks))]))).alias("hub")
     tried = (
         entries.join(hubs, "shingle")
         .select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), hub)
@@ -239,10 +259,14 @@ def linked_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     labels = connected(links)
     named = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     mixed_up = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("shingle")
-    open_ = written(named.join(mixed_up, "shingle"))
-    left = open_.select("shingle", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("label").alias("x"))
-    right = open_.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), F.col("label").alias("y"))
-    rest = left.join(right, (left.shingle == right.shingle) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _room(rule))
+    open_ = written(named.join(mixed_up, "shingle").join(sets.select("doc", "parity"), "doc"))
+
+    def side(name: str, label: str) -> DataFrame:
+        kept = [F.col(c).alias(f"{c}_{name}") for c in ("n", "place", "parity")]
+        return open_.select(F.col("shingle").alias(f"shingle_{name}"), F.col("doc").alias(name), F.col("label").alias(label), *kept)
+
+    apart = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y"))
+    rest = side("a", "x").join(side("b", "y"), apart & _room(rule) & _near(rule))
     more = written(verified(rest.select("a", "b"), held, sets, rule))
     if more.isEmpty():
         return labels
