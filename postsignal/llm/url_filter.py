@@ -7,8 +7,8 @@ predicted from the shorter context (absolute discounting). A URL is blocked if i
 under the rejected model exceeds that under the accepted one, per character, by more than a
 threshold that is calibrated on labelled URLs left out of training.
 
-Null URL or one without ``://``: empty host and path, no rule, verdict from the models on an empty
-string, which is ``allow``. Path without a leading slash: no rule fits. Ties at the threshold:
+Null URL or one without ``://``: empty host and path, no rule, nothing for the models to compare (the
+difference is null), so ``allow``. Path without a leading slash: no rule fits. Ties at the threshold:
 ``allow``. A class without training URLs: the threshold is infinite, so ``allow``. Repeated rows: all
 returned, and all count in training. Empty table: no rows. Other columns are left out.
 """
@@ -130,7 +130,7 @@ def differences(urls: DataFrame, models: dict[str, Model]) -> DataFrame:
     names = urls.columns
 
     def run(batches):
-        known: dict[str, float] = {}
+        known: dict[str, float | None] = {}
         for batch in batches:
             out = []
             for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
@@ -139,7 +139,7 @@ def differences(urls: DataFrame, models: dict[str, Model]) -> DataFrame:
                     if len(known) > 50_000:
                         known.clear()
                     ll = {k: m.log_likelihood(line) for k, m in models.items()}
-                    known[line] = (ll["block"] - ll["allow"]) / (len(line) + 1) if line else 0.0
+                    known[line] = (ll["block"] - ll["allow"]) / (len(line) + 1) if line else None
                 out.append(known[line])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "difference"])
 
