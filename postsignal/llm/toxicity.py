@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .names import unused
 
 WORD = re.compile(r"\w+")
-SAMPLE, WINDOW, FEATURES, LEAST, SHARE, RATIO = 2000, 256, 4096, 4, 0.02, 4.0
+SAMPLE, WINDOW, FEATURES, LEAST, SHARE, RATIO = 2000, 512, 4096, 3, 0.02, 4.0
 LIMIT = 0.7
 
 
@@ -115,46 +115,15 @@ def fit_chain(windows: list[tuple[list[str], int]], steps: int = 60) -> Chain:
     telling = [f for f, n in seen[1].items() if n >= least and ratio(f) >= RATIO]
     telling = sorted(telling, key=lambda f: (-seen[1][f] * min(ratio(f), 100.0), f))[:FEATURES]
     number = {f: i for i, f in enumerate(telling)}
-    longest = max((len(w) for w, _ in windows), default=0)
-    shape = (len(windows), max(longest, 1))
-    there, tag = np.zeros(shape, bool), np.zeros(shape)
-    place, which = [], []
-    for row, (words, label) in enumerate(windows):
-        there[row, : len(words)] = True
-        for col, word in enumerate(words):
-            own = [number[f] for f in features(word) if f in number]
-            place += [row * shape[1] + col] * len(own)
-            which += own
-            tag[row, col] = float(bool(own) and label == 1)
-    place, which = np.array(place, np.int64), np.array(which, np.int64)
+    # Windows go through in blocks of like length, so memory is bounded by one block's arrays.
+    windows.sort(key=lambda w: (len(w[0]), w))
+    blocks = [_block(windows[i : i + 250], number) for i in range(0, len(windows), 250)]
+    count = max(1, sum(len(w) for w, _ in windows))
     theta = np.zeros(len(telling) + 4)  # features, bias, log weights of 0-1, 1-0, 1-1
     theta[-4] = -4.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    pair = there[:, 1:] & there[:, :-1]
-    count = max(1.0, float(there.sum()))
     for step in range(1, steps + 1):
-        emission = np.bincount(place, theta[which], there.size).reshape(shape) + theta[-4]
-        odds = np.where(there, np.exp(np.clip(emission, -30, 30)), 0.0)
-        moves = np.exp(theta[-3:])
-        chain = Chain({}, 0.0, tuple(theta[-3:]))
-        ahead, back = chain.ratios(odds, there.sum(1).tolist())
-        both = ahead * back
-        wrong = np.where(there, tag - both / (1 + both), 0.0)
-        a, s = ahead[:, :-1], odds[:, 1:] * back[:, 1:]
-        e01, e10, e11 = s * moves[0], a * moves[1], a * s * moves[2]
-        total = 1 + e01 + e10 + e11
-        left, right = tag[:, :-1], tag[:, 1:]
-        gradient = np.concatenate(
-            [
-                np.bincount(which, wrong.ravel()[place], len(telling)) if len(place) else np.zeros(len(telling)),
-                [wrong.sum()],
-                [
-                    np.where(pair, (1 - left) * right - e01 / total, 0).sum(),
-                    np.where(pair, left * (1 - right) - e10 / total, 0).sum(),
-                    np.where(pair, left * right - e11 / total, 0).sum(),
-                ],
-            ]
-        ) / count - 1e-7 * theta
+        gradient = sum(_gradient(theta, *block) for block in blocks) / count - 1e-7 * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         theta += 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-10)
@@ -162,6 +131,41 @@ def fit_chain(windows: list[tuple[list[str], int]], steps: int = 60) -> Chain:
     return Chain(dict(zip(telling, theta[:-4].tolist())), float(theta[-4]), tuple(theta[-3:].tolist()))
 
 
+def _block(windows: list[tuple[list[str], int]], number: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """``(lengths, tags, places with a feature, the features there)`` of some windows."""
+    lengths = np.array([len(w) for w, _ in windows])
+    shape = (len(windows), max(1, int(lengths.max())))
+    tag, place, which = np.zeros(shape, bool), [], []
+    for row, (words, label) in enumerate(windows):
+        for col, word in enumerate(words):
+            own = [number[f] for f in features(word) if f in number]
+            place += [row * shape[1] + col] * len(own)
+            which += own
+            tag[row, col] = bool(own) and label == 1
+    return lengths, tag, np.array(place, np.int64), np.array(which, np.int64)
+
+
+def _gradient(theta: np.ndarray, lengths: np.ndarray, tag: np.ndarray, place: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Observed minus expected counts of features, toxic words and the three weighted moves."""
+    there = np.arange(tag.shape[1])[None, :] < lengths[:, None]
+    emission = np.bincount(place, theta[which], tag.size).reshape(tag.shape) + theta[-4]
+    odds = np.where(there, np.exp(np.clip(emission, -30, 30)), 0.0)
+    ahead, back = Chain({}, 0.0, tuple(theta[-3:])).ratios(odds, lengths.tolist())
+    both = ahead * back
+    wrong = np.where(there, tag - both / (1 + both), 0.0)
+    m01, m10, m11 = np.exp(theta[-3:])
+    a, s = ahead[:, :-1], odds[:, 1:] * back[:, 1:]
+    e01, e10, e11 = s * m01, a * m10, a * s * m11
+    total = 1 + e01 + e10 + e11
+    left, right, pair = tag[:, :-1], tag[:, 1:], there[:, 1:]
+    moves = [
+        np.where(pair, (~left & right) - e01 / total, 0).sum(),
+        np.where(pair, (left & ~right) - e10 / total, 0).sum(),
+        np.where(pair, (left & right) - e11 / total, 0).sum(),
+    ]
+    return np.concatenate([np.bincount(which, wrong.ravel()[place], len(theta) - 4), [wrong.sum()], moves])
+
+
 def summary(p: np.ndarray) -> tuple[float, float]:
     return (float(p.sum()), float(p.max())) if len(p) else (0.0, 0.0)
 
