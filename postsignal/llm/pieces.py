@@ -292,7 +292,7 @@ def compiled(path: str = MODEL) -> Transducer:
         return Transducer(f.read())
 
 
-def encode(docs: DataFrame, path: str = MODEL, most_known: int = 300_000) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, most_known: int = 600_000) -> DataFrame:
     """``(doc_id, ids)`` for each row; nothing is shuffled."""
     model = compiled(path)
 
@@ -329,7 +329,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encoded_and_decoded(docs: DataFrame, path: str = MODEL, most_known: int = 300_000) -> DataFrame:
+def encoded_and_decoded(docs: DataFrame, path: str = MODEL, most_known: int = 600_000) -> DataFrame:
     """``(doc_id, n_ids, ids, n_fallback, round_trip)``: ids, and whether they decode to the text."""
     model = compiled(path)
     bytes_first, bytes_last = min(model.byte_id.values(), default=-1), max(model.byte_id.values(), default=-2)
