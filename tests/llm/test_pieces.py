@@ -1,0 +1,103 @@
+"""Encoding against the library that reads the same model, exact round trips, and a unigram model."""
+
+import random
+import struct
+
+import pytest
+import sentencepiece
+
+from postsignal.llm import pieces
+
+ODD = [
+    None, "", " ", "  a", "a  b   c\n\n\td", "漢字かな交じり文 é́ 🎉🎉", "\u0000\x7f", "don't stop's, (x); http://www.example.com/?a=1&b=2",
+    "def f(x):\n        return x+1  # ok", "a" * 40, " " * 50, "Ünïcödé ǅ ﬁ", "1234567890 3.14159", "x" * 5_000,
+]
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.compiled()
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def test_ids_equal_the_library_on_all_documents(documents, texts, library):
+    got = pieces.encoded_and_decoded(documents).collect()
+    assert len(got) == len(texts) and all(r["round_trip"] for r in got)
+    for r in got:
+        assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["n_ids"] == len(r["ids"])
+
+
+def test_ids_equal_the_library_on_random_text(model, library):
+    draw = random.Random(1)
+    known = pieces.Known(model, 10**6)
+    for alphabet in ("abcdeinst ▁\n.,'é漢", "theraonis ", "the  \n\t", "aA1.-_/ "):
+        for _ in range(150):
+            text = "".join(draw.choice(alphabet) for _ in range(draw.randint(1, 120)))
+            ids = [i for part in model.parts(text) for i in known[part]]
+            assert ids == library.encode(text), repr(text)
+
+
+def test_steps_by_edges_equal_steps_by_merging(model):
+    draw, steps = random.Random(2), pieces.Steps(model)
+    vocabulary = [p for p in model.weight if len(p) < 6]
+    for _ in range(3000):
+        a, b = draw.choice(vocabulary), draw.choice(vocabulary)
+        assert steps[a, b] == (model.merged(a + b) == [a, b]), (a, b)
+
+
+def test_odd_rows(docs_of):
+    docs = docs_of([*enumerate(ODD), (None, "x"), (3, ODD[3])])
+    encoded = pieces.encode(docs)
+    assert encoded.count() == len(ODD) + 2
+    back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded).collect()}
+    assert all(back[i] == (t or "") for i, t in enumerate(ODD)) and back[None] == "x"
+    assert pieces.encoded_and_decoded(docs_of([])).collect() == []
+
+
+def test_blank_sign_in_a_text_decodes_as_a_blank(docs_of):
+    assert pieces.decode(pieces.encode(docs_of([(1, "a▁b")]))).first()["text"] == "a b"
+
+
+def _field(number, kind, body):
+    return bytes([number << 3 | kind]) + body
+
+
+def _unigram(listed):
+    out = b""
+    for text, score, kind in listed:
+        own = text.encode()
+        body = _field(1, 2, bytes([len(own)]) + own) + _field(2, 5, struct.pack("<f", score)) + _field(3, 0, bytes([kind]))
+        out += _field(1, 2, bytes([len(body)]) + body)
+    trainer = _field(3, 0, b"\x01")
+    rules = _field(3, 0, b"\x01") + _field(4, 0, b"\x00")
+    return out + _field(2, 2, bytes([len(trainer)]) + trainer) + _field(3, 2, bytes([len(rules)]) + rules)
+
+
+def test_unigram_model_takes_the_lightest_path():
+    listed = [("<unk>", 0, 2), ("▁a", -1, 1), ("b", -1, 1), ("ab", -1.5, 1), ("▁", -1, 1), ("▁abc", -9, 1), ("c", -2, 1), ("bc", -1.2, 1)]
+    listed += [(f"<0x{i:02X}>", 0, 6) for i in range(256)]
+    model = pieces.Transducer(_unigram(listed))
+
+    def best(text):
+        if not text:
+            return 0.0, []
+        every = [(model.weight[text[:n]], [text[:n]]) for n in range(1, len(text) + 1) if text[:n] in model.weight]
+        if text[0] not in model.weight:
+            every.append((model.fallback, [text[0]]))
+        return min((w + best(text[len(p[0]) :])[0], p + best(text[len(p[0]) :])[1]) for w, p in every)
+
+    for text in ("abc", "abcab", "b c", "aé", "cab abc"):
+        whole = model.prefix + text.replace(" ", "▁")
+        path = model.lightest_path(whole)
+        assert sum(model.weight.get(p, model.fallback) for p in path) == pytest.approx(best(whole)[0])
+        ids = [i for p in path for i in model.ids(p)]
+        assert model.decode(ids) == text
+
+
+def test_models_that_cannot_be_compiled_are_refused():
+    with pytest.raises(ValueError):
+        pieces.Transducer(_field(2, 2, bytes([2]) + _field(3, 0, b"\x03")))
