@@ -36,7 +36,7 @@ FAILURES = (0.01, 0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95)
 #: A state's class is the number of these bounds that its count reaches.
 CLASSES = (2, 8, 128, 4096)
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-CHUNK_BYTES, RANGE_TOKENS = 12 << 20, 1 << 20
+CHUNK_BYTES, RANGE_TOKENS = 8 << 20, 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -190,21 +190,27 @@ def walk(token_count, pair_count, state_count, total: int, known: int, own: int
     share = np.maximum(pair_count - own, 0) / np.maximum(state, 1)
     kind = np.where(state > 0, np.searchsorted(CLASSES, state, "right"), -1)
     arc = share > 0
-    steps = []
-    for failure in FAILURES:
-        step = math.log10(failure) + root
-        step[arc] = np.log10((1 - failure) * share[arc] + failure * 10.0 ** root[arc])
-        steps.append(step)
-    return kind, root, steps
 
+    def steps():
+        for failure in FAILURES:
+            step = math.log10(failure) + root
+            step[arc] = np.log10((1 - failure) * share[arc] + failure * 10.0 ** root[arc])
+            yield step
 
-def _sums(walked_steps, rows: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Per text (or in all): what states never seen add, and what each class and failure weight add."""
+    return kind, root, steps()
+
+
+def _sums(walked_steps, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: what states never seen add, and what each class and failure weight add.
+
+    ``text`` is the number of each step's text. One failure weight's steps are held at a time.
+    """
     kind, root, steps = walked_steps
-    add = (lambda x: np.add.reduceat(x, rows)) if rows is not None else (lambda x: x.sum(keepdims=True))
-    return add(np.where(kind < 0, root, 0.0)), np.stack(
-        [add(np.where(kind == k, step, 0.0)) for k in range(len(CLASSES) + 1) for step in steps], 1
-    )
+    wide = len(CLASSES) + 2
+    cell = text * wide + np.where(kind < 0, wide - 1, kind)
+    unseen = np.bincount(cell, root, texts * wide).reshape(texts, wide)[:, -1]
+    added = [np.bincount(cell, step, texts * wide).reshape(texts, wide)[:, :-1] for step in steps]
+    return unseen, np.stack(added, 2).reshape(texts, -1)
 
 
 def walked(dealt: DataFrame, answered: DataFrame, total: int, known: int, texts: int) -> DataFrame:
@@ -221,6 +227,8 @@ def walked(dealt: DataFrame, answered: DataFrame, total: int, known: int, texts:
             distinct, place = np.unique(values, return_inverse=True)
             assert len(distinct) == len(totals), "a chunk's texts changed between two reads"
             found.append(totals[place])
+            del values, distinct, place
+        del token, state
         word, pair = found
         before = np.empty_like(word)
         before[1:] = word[:-1]
@@ -228,10 +236,11 @@ def walked(dealt: DataFrame, answered: DataFrame, total: int, known: int, texts:
         train = np.asarray(_one(table.column("train")).to_numpy(zero_copy_only=False), bool)
         rows = begins[:-1]
         base = np.add.reduceat(np.log10((word + ADDED) / (total + ADDED * (known + 1))), rows)
-        unseen, scores = _sums(walk(word, pair, before, total, known), rows)
+        text = np.repeat(np.arange(len(rows)), np.diff(begins))
+        unseen, scores = _sums(walk(word, pair, before, total, known), text, len(rows))
         # Only training texts are in the counts, so only they can be left out of them.
-        own = np.repeat(train, np.diff(begins))
-        _, less = _sums(walk(word[own], pair[own], before[own], total, known, 1), None)
+        own = train[text]
+        _, less = _sums(walk(word[own], pair[own], before[own], total, known, 1), np.zeros(int(own.sum()), np.int64), 1)
         lists = lambda x: pa.array(x, pa.list_(pa.float64()))
         return pa.table(
             {
