@@ -9,8 +9,6 @@ from ..functions import text
 from ..session import written
 from .ranking import ordered_rank
 
-MAX_CATEGORIES = 1_000
-
 
 def _places(docs: DataFrame) -> DataFrame:
     tokens = text.encoder_words(F.col("cleaned"))
@@ -50,11 +48,11 @@ def fitted(ids: Column, length: Column) -> Column:
 
 
 def encoded_docs(docs: DataFrame, vocab: DataFrame, length: Column | None = None) -> DataFrame:
-    """``(post_id, word_ids)``: term numbers in text order, unknown terms as 0, padded to ``length``.
+    """``(post_id, word_ids)``: term numbers in text order, unknown terms as 0, ``length`` long if given.
 
     One row per post and distinct term meets the vocabulary, not one per token, which keeps the
-    most common terms small. The padded array is the reference form; ``length=None`` leaves the
-    arrays as long as their texts, which is what a large job should store.
+    most common terms small. Store arrays as long as their texts (``length=None``) and pad where
+    batches are made: padded to the longest text, every row costs as much as that one.
     """
     known = (
         _places(docs)
@@ -82,15 +80,10 @@ def encoded_docs(docs: DataFrame, vocab: DataFrame, length: Column | None = None
     )
 
 
-def categories(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct labels of a category column, read right away.
-
-    A column with more than ``MAX_CATEGORIES`` labels is refused: it is no category.
-    """
-    found = [r[0] for r in df.select(col).na.drop().distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} labels")
-    return sorted(found)
+def padded_by(rows: DataFrame, batch: str) -> DataFrame:
+    """``rows`` with ``word_ids`` filled up to the longest of each ``batch``."""
+    longest = rows.groupBy(batch).agg(F.max(F.size("word_ids")).alias("_longest"))
+    return rows.join(longest, batch).withColumn("word_ids", fitted(F.col("word_ids"), F.col("_longest"))).drop("_longest")
 
 
 def one_hot(label: Column, labels: list[str]) -> Column:

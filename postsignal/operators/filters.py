@@ -23,11 +23,12 @@ def news_posts(posts: DataFrame) -> DataFrame:
 
 
 def keep_last(posts: DataFrame, cols: list[str] | None = None, key: str = "post_id") -> DataFrame:
-    """One row per distinct value of ``cols``, by default all but the key: the largest ``key``'s.
+    """One row per distinct value of ``cols``, by default all but the key: one of the largest ``key``.
 
-    Rows are grouped by a 256-bit digest, so neither the grouping nor its shuffle moves texts, and
-    the maximum is combined before the shuffle, so a text with very many copies costs no more than
-    one row per task. Nulls and the borders between columns are part of the digest.
+    Rows are grouped by a 256-bit digest and the kept one travels with the maximum, which is combined
+    before the shuffle: a text with very many copies costs no more than one row per task, a key may
+    occur any number of times, and no join follows. Nulls and the borders between columns are part of
+    the digest.
     """
     parts = [
         F.when(F.col(c).isNull(), F.lit("-")).otherwise(
@@ -39,9 +40,5 @@ def keep_last(posts: DataFrame, cols: list[str] | None = None, key: str = "post_
         )
         for c in (cols or [c for c in posts.columns if c != key])
     ]
-    kept = (
-        posts.groupBy(F.sha2(F.concat(*parts), 256).alias("_digest"))
-        .agg(F.max(key).alias(key))
-        .select(key)
-    )
-    return posts.join(kept, key, "left_semi")
+    last = F.max_by(F.struct(*posts.columns), F.struct(key)).alias("_row")
+    return posts.groupBy(F.sha2(F.concat(*parts), 256).alias("_digest")).agg(last).select("_row.*")

@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import written
+
+
+def default_tokens() -> Column:
+    """Words of the segmented text, so a run of Han characters gives its pairs and not one term."""
+    return text.words(text.segmented(F.col("content")))
 
 
 def term_counts(posts: DataFrame, tokens: Column | None = None) -> DataFrame:
     """``(post_id, term, tf)``. Counted inside each row: no shuffle."""
-    tokens = text.words(F.col("content")) if tokens is None else tokens
+    tokens = default_tokens() if tokens is None else tokens
     return posts.select("post_id", F.inline(text.term_frequencies(tokens)))
 
 
@@ -21,7 +27,7 @@ def term_stats(counts: DataFrame) -> DataFrame:
 
 def document_frequencies(posts: DataFrame, tokens: Column | None = None) -> DataFrame:
     """``(term, df)`` alone: terms are made distinct in the row, without counting them."""
-    tokens = text.words(F.col("content")) if tokens is None else tokens
+    tokens = default_tokens() if tokens is None else tokens
     terms = posts.select(F.explode(F.array_distinct(tokens)).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -34,20 +40,24 @@ def tfidf_weights(
     Frequencies come from ``fit_on``, by default from ``posts`` themselves, in which case later
     posts influence earlier ones. Terms that ``fit_on`` lacks are dropped.
 
-    The only large join is on the term. The frequency table is broadcast if its measured size
-    allows; otherwise both sides are shuffled, where very common terms give hot partitions on the
-    post side only, which adaptive execution splits. Every term has a frequency when the posts are
-    their own fit, so an outer join gives the same rows, and it keeps Spark from broadcasting the
-    post side, whose size it underestimates after the explode.
+    Texts are tokenised once: the counts are a written table, and document frequencies are counted
+    from it. The only large join is on the term. The frequency table is broadcast if its measured
+    size allows; otherwise both sides are shuffled, where very common terms give hot partitions on
+    the post side only, which adaptive execution splits. Every term has a frequency when the posts
+    are their own fit, so an outer join gives the same rows, and it keeps Spark from broadcasting the
+    post side.
     """
-    fitted = posts if fit_on is None else fit_on
-    n_posts = fitted.agg(F.count("*")).scalar()
+    counts = written(term_counts(posts, tokens))
+    if fit_on is None:
+        frequencies = counts.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        frequencies = document_frequencies(fit_on, tokens)
+    n_posts = (posts if fit_on is None else fit_on).agg(F.count("*")).scalar()
     idf = F.log((F.lit(1) + n_posts) / (F.lit(1) + F.col("df"))) + F.lit(1.0)
     per_post = Window.partitionBy("post_id")
     raw = F.col("_raw")
     return (
-        term_counts(posts, tokens)
-        .join(document_frequencies(fitted, tokens), "term", "left" if fit_on is None else "inner")
+        counts.join(frequencies, "term", "left" if fit_on is None else "inner")
         .withColumn("_raw", F.col("tf") * idf)
         .withColumn("weight", raw / F.sqrt(F.sum(raw * raw).over(per_post)))
         .select("post_id", "term", "tf", "df", "weight")

@@ -17,7 +17,7 @@ class Layout:
     title: str
     body_start: str
     footer: str
-    gate: str = "over18-notice"
+    gate: str = r'<[^>]*\bclass="(?:[^"]*\s)?over18-notice[\s"]'
     meta: str = r'class="article-meta-value"[^>]*>([^<]*)<'
     author_at: int = 0
     date_at: int = 3
@@ -42,8 +42,8 @@ ARTICLE = Layout(title=r"<title>([^<]*)</title>", body_start="<article", footer=
 
 
 def without_gates(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
-    """Pages that are not an age question."""
-    return pages.filter(~F.col("html").contains(layout.gate))
+    """Pages without an element of the age question's class; the word in a text is no such element."""
+    return pages.filter(~F.col("html").rlike(layout.gate))
 
 
 def _kept_records(pages: DataFrame, record: Column, whole, shown=None) -> DataFrame:

@@ -93,7 +93,10 @@ def t_two_sided(t: Column, df: Column, panels: int = 2000) -> Column:
 
 
 def welch(df: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:
-    """Welch's test of two groups: one row with sizes, means, t, degrees of freedom and p-value."""
+    """Welch's test of two groups: one row with sizes, means, t, degrees of freedom and p-value.
+
+    Where it is not defined (no variance, or a group of one) the last three are null.
+    """
     names = {"1": first, "2": second}
     aggregates = []
     for i, name in names.items():
@@ -104,16 +107,17 @@ def welch(df: DataFrame, group: str, first: str, second: str, value: str) -> Dat
             F.var_samp(x).alias("_var" + i),
         ]
     moments = df.filter(F.col(group).isin(first, second)).agg(*aggregates)
-    e1, e2 = F.col("_var1") / F.col("n1"), F.col("_var2") / F.col("n2")
-    freedom = F.pow(e1 + e2, 2.0) / (
-        F.pow(e1, 2.0) / (F.col("n1") - 1) + F.pow(e2, 2.0) / (F.col("n2") - 1)
+    e1, e2 = F.try_divide("_var1", "n1"), F.try_divide("_var2", "n2")
+    freedom = F.try_divide(
+        F.pow(e1 + e2, 2.0),
+        F.try_divide(F.pow(e1, 2.0), F.col("n1") - 1) + F.try_divide(F.pow(e2, 2.0), F.col("n2") - 1),
     )
     tested = moments.select(
         "n1",
         "n2",
         "mean1",
         "mean2",
-        ((F.col("mean1") - F.col("mean2")) / F.sqrt(e1 + e2)).alias("t"),
+        F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(e1 + e2)).alias("t"),
         freedom.alias("df"),
     )
     return tested.withColumn("p_value", t_two_sided(F.col("t"), F.col("df")))

@@ -50,11 +50,11 @@ def _kept(posts: DataFrame) -> DataFrame:
 
 
 def _cleaned(posts: DataFrame) -> DataFrame:
-    return posts.select("post_id", text.clean_text(F.col("content")).alias("cleaned"))
+    return posts.select("post_id", text.clean_text(text.segmented(F.col("content"))).alias("cleaned"))
 
 
 def _dated(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.posts(spark, folder, hourly=True).select("post_id", "posted_at", *trend.VOTES)
+    return written(tables.dated_votes(spark, folder, hourly=True))
 
 
 def _with_calendar(posts: DataFrame) -> DataFrame:
@@ -73,38 +73,39 @@ def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
 # Sources and sinks
 
 
-@query
-def posts_from_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Posts written as files of JSON arrays, a thousand posts each at most, and read back."""
+def _with_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts in the form of a crawl: score and comments in page order, at most ten here."""
     posts = tables.posts(spark, folder)
-    scores = tally.post_score(posts, tables.comments(spark, folder))
+    said = F.struct(
+        "event_id",
+        F.col("user_id").cast("string").alias("user"),
+        F.col("event_id").cast("string").alias("content"),
+        "score",
+    )
     comments = (
         tables.comments(spark, folder)
         .groupBy("post_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("user_id").cast("string").alias("user"),
-                        F.col("event_id").cast("string").alias("content"),
-                        "score",
-                    )
-                )
-            ).alias("comments")
-        )
+        .agg(F.array_sort(F.collect_list(said)).alias("said"))
+        .select("post_id", F.transform("said", lambda c: c.dropFields("event_id")).alias("comments"))
     )
-    rows = posts.join(scores, "post_id").join(comments, "post_id").select(
-        (F.floor(F.col("post_id") / 1000)).alias("part"),
+    scores = tally.post_score(posts, tables.comments(spark, folder))
+    return posts.join(scores, "post_id").join(comments, "post_id", "left").select(
+        F.expr("post_id div 100").alias("part"),
         "title",
         "author",
         F.col("posted_at").alias("date"),
         "content",
         "url",
         F.col("score").cast("int").alias("score"),
-        "comments",
+        F.coalesce("comments", F.array().cast("array<struct<user:string,content:string,score:int>>")).alias("comments"),
     )
+
+
+@query
+def posts_from_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts written as files of JSON arrays, a hundred posts each at most, and read back."""
     path = shared_folder(spark)
-    files.write_json_arrays(rows, path, "part")
+    files.write_json_arrays(_with_comments(spark, folder), path, "part")
     read = files.read_json(spark, path)
     return read.select(
         "url",
@@ -114,10 +115,27 @@ def posts_from_json(spark: SparkSession, folder: str) -> DataFrame:
         F.md5("content").alias("content_md5"),
         F.col("score").cast("long").alias("score"),
         F.size("comments").cast("long").alias("n_comments"),
+        F.array_join(F.col("comments")["user"], ",").alias("users"),
+        F.array_join(F.col("comments")["content"], ",").alias("comment_texts"),
         votes.total_score(F.col("comments")).alias("comment_score"),
     )
 
 
+@query
+def json_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted posts and rejected files where every seventh file of a crawl is cut off."""
+    rows = _with_comments(spark, folder)
+    path = shared_folder(spark)
+    files.write_json_arrays(rows, f"{path}/whole", "part")
+    broken = rows.filter("part % 7 = 0").groupBy("part").agg(F.max("title").alias("title"))
+    cut_off = F.concat(F.lit('[{"title": "t"},\n{"title": "'), "title", F.lit('", "content": "cut'))
+    broken.select(cut_off.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/broken")
+    kept, rejected = files.read_json_or_reject(spark, [f"{path}/whole", f"{path}/broken"])
+    # Rejects are per file, posts per row: both are only counted.
+    counts = kept.select(F.lit(1).alias("k"), F.lit(0).alias("r")).union(rejected.select(F.lit(0), F.lit(1)))
+    return counts.agg(F.sum("k").cast("long").alias("accepted"), F.sum("r").cast("long").alias("rejected_files"))
+
+
 @query
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Posts written as CSV; only the named columns are read back."""
@@ -197,11 +215,10 @@ def board_page_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def news_posts(spark: SparkSession, folder: str) -> DataFrame:
-    kept = filters.news_posts(tables.posts(spark, folder))
+    kept = filters.news_posts(tables.texts(spark, folder))
     return kept.select(
         "post_id",
         "title",
-        _shown("posted_at"),
         "url",
         F.md5(text.segmented(F.col("content"))).alias("content_split_md5"),
     )
@@ -210,7 +227,7 @@ def news_posts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def segment_text(spark: SparkSession, folder: str) -> DataFrame:
     parts = text.segments(F.concat_ws(" ", "title", "content"))
-    return tables.posts(spark, folder).select(
+    return tables.texts(spark, folder).select(
         "post_id",
         F.size(parts).cast("long").alias("n_segments"),
         F.md5(F.array_join(parts, " ")).alias("segments_md5"),
@@ -219,10 +236,20 @@ def segment_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def dedup_posts(spark: SparkSession, folder: str) -> DataFrame:
-    kept = filters.keep_last(tables.posts(spark, folder), ["content"])
+    kept = filters.keep_last(tables.texts(spark, folder), ["content"])
     return kept.select("post_id", "title", F.md5("content").alias("content_md5"))
 
 
+@query
+def dedup_recrawled(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of all posts crawled twice, under the same key; each counts once with its votes."""
+    crawled = tables.texts(spark, folder)
+    once = filters.keep_last(crawled.unionByName(crawled.filter("post_id % 3 = 0")))
+    return once.join(tables.dated_votes(spark, folder), "post_id").select(
+        "post_id", "url", F.md5("content").alias("content_md5"), *trend.VOTES
+    )
+
+
 @query
 def vote_tally(spark: SparkSession, folder: str) -> DataFrame:
     return tally.vote_tally(tables.comments(spark, folder))
@@ -246,7 +273,7 @@ def calendar_tags(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
     found = text.words(F.col("content"))
-    return tables.posts(spark, folder).select(
+    return tables.texts(spark, folder).select(
         "post_id",
         F.size(found).cast("long").alias("n_tokens"),
         F.md5(F.array_join(found, " ")).alias("tokens_md5"),
@@ -255,18 +282,18 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return keywords.term_counts(tables.posts(spark, folder))
+    return keywords.term_counts(tables.texts(spark, folder))
 
 
 @query
 def term_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return keywords.term_stats(keywords.term_counts(tables.posts(spark, folder)))
+    return keywords.term_stats(keywords.term_counts(tables.texts(spark, folder)))
 
 
 @query
 def corpus_shape(spark: SparkSession, folder: str) -> DataFrame:
     """Posts, vocabulary size and filled cells of the post-by-term matrix."""
-    posts = tables.posts(spark, folder)
+    posts = tables.texts(spark, folder)
     per_term = keywords.term_stats(keywords.term_counts(posts))
     return per_term.agg(
         F.count("*").alias("n_terms"), F.sum("df").alias("n_cells")
@@ -275,12 +302,12 @@ def corpus_shape(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(keywords.tfidf_weights(tables.posts(spark, folder)), "weight")
+    return _rounded(keywords.tfidf_weights(tables.texts(spark, folder)), "weight")
 
 
 @query
 def keyword_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(_kept(tables.posts(spark, folder)), "weight")
+    return _rounded(_kept(tables.texts(spark, folder)), "weight")
 
 
 CATALOG["keywords"] = CATALOG.pop("keyword_rows")
@@ -288,7 +315,7 @@ CATALOG["keywords"] = CATALOG.pop("keyword_rows")
 
 @query
 def keyword_strings(spark: SparkSession, folder: str) -> DataFrame:
-    posts = tables.posts(spark, folder)
+    posts = tables.texts(spark, folder)
     joined = keywords.keyword_lists(posts, _kept(posts)).select(
         "post_id", keywords.to_string(F.col("words")).alias("words_filtered")
     )
@@ -321,29 +348,29 @@ def score_window(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def window_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     """Number of dictionary terms of every window."""
-    posts = tables.posts(spark, folder, hourly=True)
-    found = topics.dictionary(_kept(posts), _dated(spark, folder), rolling.grid(_dated(spark, folder)))
+    dated = _dated(spark, folder)
+    found = topics.dictionary(_kept(tables.texts(spark, folder)), dated, rolling.grid(dated))
     return rolling.exploded(found).groupBy("window_id").agg(F.count("*").alias("n_terms"))
 
 
 @query
 def bag_of_words(spark: SparkSession, folder: str) -> DataFrame:
-    kept = written(_kept(tables.posts(spark, folder, hourly=True)))
+    kept = written(_kept(tables.texts(spark, folder)))
     dated = _dated(spark, folder)
     return topics.bag_of_words(kept, dated, rolling.grid(dated))
 
 
 @query
 def topic_index(spark: SparkSession, folder: str) -> DataFrame:
-    posts = tables.posts(spark, folder, hourly=True)
-    assigned = tables.keyword_topics(_kept(posts)).join(_dated(spark, folder), "post_id")
-    index = trend.rolling_index(assigned, rolling.grid(_dated(spark, folder)))
+    dated = _dated(spark, folder)
+    assigned = tables.keyword_topics(_kept(tables.texts(spark, folder))).join(dated, "post_id")
+    index = trend.rolling_index(assigned, rolling.grid(dated))
     return _rounded(index, *[c for c in index.columns if c not in ("window_id", "topic")])
 
 
 def trend_score_table(spark: SparkSession, folder: str) -> DataFrame:
     dated = _dated(spark, folder)
-    topics_of = written(tables.keyword_topics(_kept(tables.posts(spark, folder, hourly=True))))
+    topics_of = written(tables.keyword_topics(_kept(tables.texts(spark, folder))))
     return trend.trend_scores(dated, topics_of, rolling.grid(dated))
 
 
@@ -355,13 +382,25 @@ def trend_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def trend_scores_lda(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores with a topic model refitted for every window over all its posts."""
-    posts = tables.posts(spark, folder)
-    lists = keywords.keyword_lists(posts, _kept(posts))
-    scored = topics.rolling_topic_scores(
-        posts, lists, rolling.grid(posts.select("posted_at")), topics.TopicSettings(seed=7)
+    """Which posts a topic model, refitted for every window, scores, and whether scores are possible.
+
+    A score is a sum of averages times shares that add up to at most one, so it lies between 0 and
+    the largest vote of the window's posts.
+    """
+    texts, dated = tables.texts(spark, folder), _dated(spark, folder)
+    at = rolling.grid(dated)
+    lists = keywords.keyword_lists(texts, _kept(texts))
+    scored = written(topics.rolling_topic_scores(dated, lists, at, topics.TopicSettings(seed=7)))
+    largest = (
+        rolling.exploded(rolling.with_training_range(dated, at).groupBy("k_first", "k_last").agg(F.max("n_hate").alias("m")))
+        .groupBy("window_id")
+        .agg(F.max("m").alias("largest"))
     )
-    return scored.select("post_id", *trend.SCORES.values(), "scored")
+    by = rolling.score_window(dated, at).join(largest, "window_id", "left").select("post_id", "largest")
+    possible = F.when(F.col("scored"), F.col("score_hate").between(F.lit(0.0), F.col("largest") + 1e-6)).otherwise(
+        F.col("score_hate") == 0
+    )
+    return scored.join(by, "post_id").select("post_id", "scored", possible.alias("possible"))
 
 
 # Model input
@@ -369,7 +408,7 @@ def trend_scores_lda(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def clean_text(spark: SparkSession, folder: str) -> DataFrame:
-    return _cleaned(tables.posts(spark, folder)).select(
+    return _cleaned(tables.texts(spark, folder)).select(
         "post_id",
         F.length("cleaned").cast("long").alias("n_chars"),
         F.md5("cleaned").alias("cleaned_md5"),
@@ -378,23 +417,21 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def doc_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _cleaned(tables.posts(spark, folder))
-    return docs.select(
-        "post_id",
-        text.blank_count(F.col("cleaned")).cast("long").alias("n_words"),
-        encode.max_length(docs).cast("long").alias("longest"),
-    )
+    docs = _cleaned(tables.texts(spark, folder))
+    counted = written(docs.select("post_id", text.blank_count(F.col("cleaned")).cast("long").alias("n_words")))
+    return counted.select("post_id", "n_words", counted.agg(F.max("n_words")).scalar().alias("longest"))
 
 
 @query
 def vocab_first_seen(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.vocabulary(_cleaned(tables.posts(spark, folder)))
+    return encode.vocabulary(_cleaned(tables.texts(spark, folder)))
 
 
 @query
 def encoded_docs(spark: SparkSession, folder: str) -> DataFrame:
-    docs = written(_cleaned(tables.posts(spark, folder)))
-    ids = encode.encoded_docs(docs, encode.vocabulary(docs), encode.max_length(docs))
+    """Word ids as long as their text; padding waits until batches are made."""
+    docs = written(_cleaned(tables.texts(spark, folder)))
+    ids = encode.encoded_docs(docs, encode.vocabulary(docs))
     return ids.select(
         "post_id",
         F.size("word_ids").cast("long").alias("n_ids"),
@@ -402,11 +439,33 @@ def encoded_docs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def padded_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of 64 posts with ids, padded to the longest of their batch, and label."""
+    texts = tables.texts(spark, folder)
+    docs = written(_cleaned(texts))
+    rows = split.split_rows(texts.select("post_id")).filter("split = 'train'").select("post_id")
+    dealt = split.epoch_batches(rows, epochs=1).select("batch", "post_id")
+    labels = tables.dated_votes(spark, folder).select("post_id", "n_hate")
+    filled = encode.padded_by(
+        dealt.join(encode.encoded_docs(docs, encode.vocabulary(docs)), "post_id").join(labels, "post_id"), "batch"
+    )
+    return filled.select(
+        "batch",
+        "post_id",
+        F.size("word_ids").cast("long").alias("n_ids"),
+        F.md5(F.array_join(F.col("word_ids").cast("array<string>"), " ")).alias("ids_md5"),
+        "n_hate",
+    )
+
+
 @query
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     posts = _with_calendar(tables.posts(spark, folder).select("post_id", "posted_at"))
-    hot = encode.one_hot(F.col("hour_tag"), encode.categories(posts, "hour_tag"))
-    return posts.select("post_id", "hour_tag", *[hot[i].alias(f"hot_{i + 1}") for i in range(3)])
+    hot = encode.one_hot(F.col("hour_tag"), calendar.HOUR_TAGS)
+    return posts.select(
+        "post_id", "hour_tag", *[hot[i].alias(f"hot_{i + 1}") for i in range(len(calendar.HOUR_TAGS))]
+    )
 
 
 @query
@@ -419,7 +478,7 @@ def model_rows(spark: SparkSession, folder: str) -> DataFrame:
 def feature_array(spark: SparkSession, folder: str) -> DataFrame:
     rows = written(_model_rows(spark, folder))
     docs = written(_cleaned(rows))
-    ids = encode.encoded_docs(docs, encode.vocabulary(docs), encode.max_length(docs))
+    ids = encode.encoded_docs(docs, encode.vocabulary(docs))
     features = encode.feature_array(
         F.col("word_ids"),
         [F.col(s) for s in trend.SCORES.values()],
@@ -437,7 +496,7 @@ def feature_array(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def split_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return split.split_rows(tables.posts(spark, folder).select("post_id"))
+    return split.split_rows(tables.texts(spark, folder).select("post_id"))
 
 
 @query
@@ -450,7 +509,7 @@ def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def epoch_batches(spark: SparkSession, folder: str) -> DataFrame:
-    rows = split.split_rows(tables.posts(spark, folder).select("post_id"))
+    rows = split.split_rows(tables.texts(spark, folder).select("post_id"))
     train = rows.filter(F.col("split") == "train").select("post_id")
     return split.epoch_batches(train).select(
         F.col("epoch").cast("long").alias("epoch"), "batch", "post_id"
@@ -525,13 +584,78 @@ def _regression_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ngram_regression(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions for all posts of the model with all features."""
+    """Rows, mean label and errors per split of the model with all features.
+
+    A least-squares fit with an intercept has the mean label as its mean prediction and no larger
+    error than that mean on the rows it was fitted to; ``train_gap`` and ``train_fits`` say so.
+    """
     rows = _regression_rows(spark, folder)
     train = rows.filter(F.col("split") == "train")
     model = regress.fit(train, regress.FEATURE_SETS["text+scores+tag"])
-    return model.transform(rows).select("post_id", "split", "label", "prediction")
+    predicted = written(model.transform(rows).select("post_id", "split", "label", "prediction"))
+    return _checked(predicted.groupBy("split"))
+
+
+def _checked(grouped) -> DataFrame:
+    gap = F.round(F.avg("prediction") - F.avg("label"), 4)
+    error = F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), F.lit(2.0))))
+    checked = grouped.agg(
+        F.count("*").alias("n_rows"),
+        F.round(F.avg("label"), 6).alias("mean_label"),
+        F.abs(gap).alias("train_gap"),
+        (error <= F.stddev_pop("label") + 1e-6).alias("train_fits"),
+    )
+    trained = F.col("split") == "train"
+    return checked.withColumns(
+        {"train_gap": F.when(trained, F.col("train_gap")), "train_fits": F.when(trained, F.col("train_fits"))}
+    )
+
+
+@query
+def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Word sequences of each width per post, as the regression sees them."""
+    found = regress.tokens(F.col("content"))
+    sized = tables.texts(spark, folder).select("post_id", F.size(found).alias("n"))
+    width = F.explode(F.array(*[F.lit(w) for w in (2, 3, 4)])).alias("width")
+    return sized.select("post_id", "n", width).select(
+        "post_id", F.col("width").cast("long").alias("width"), F.greatest(F.col("n") - F.col("width") + 1, F.lit(0)).cast("long").alias("n_ngrams")
+    )
 
 
 @query
 def ablation_rmse(spark: SparkSession, folder: str) -> DataFrame:
-    return regress.ablation(_regression_rows(spark, folder))
+    """The same checks for each of the three feature sets."""
+    rows = _regression_rows(spark, folder)
+    out = None
+    for name, meta in regress.FEATURE_SETS.items():
+        model = regress.fit(rows.filter(F.col("split") == "train"), meta)
+        part = model.transform(rows).select(F.lit(name).alias("features"), "split", "label", "prediction")
+        out = part if out is None else out.unionByName(part)
+    return _checked(out.groupBy("features", "split"))
+
+
+@query
+def batch_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Batch and whole errors of stored predictions: each post gets its previous rank's label."""
+    posts = written(tables.dated_votes(spark, folder).select("post_id", "n_hate"))
+    rows = written(split.split_rows(posts))
+    before = rows.select((F.col("rank") + 1).alias("rank"), F.col("n_hate").cast("double").alias("prediction"))
+    given = written(rows.join(before, "rank").select("post_id", "n_hate", "prediction"))
+    return _rounded(evaluate.rmse_by_batch(given, "n_hate", "prediction"), "rmse_batches", "rmse")
+
+
+@query
+def han_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Term counts of all texts with ten of their letters shown as Han characters."""
+    shown = F.translate("content", "aeiounrstl", "台北市政府今天宣布例")
+    return keywords.term_counts(tables.texts(spark, folder).withColumn("content", shown))
+
+
+@query
+def news_trend(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole chain: news, one row per text, keywords of segmented text, scores from their votes."""
+    news = written(filters.keep_last(filters.news_posts(tables.texts(spark, folder)), ["content"]))
+    dated = written(_dated(spark, folder).join(news.select("post_id"), "post_id", "left_semi"))
+    topics_of = written(tables.keyword_topics(_kept(news)))
+    scored = _rounded(trend.trend_scores(dated, topics_of, rolling.grid(dated)), *trend.SCORES.values())
+    return scored.select("post_id", *trend.SCORES.values(), "scored")

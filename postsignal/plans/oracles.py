@@ -26,18 +26,30 @@ posts as (
                                    when 9 then '[問卦] ' else '[新聞] ' end, d.source) as title,
          d.source as author, {posted_at} as posted_at,
          concat('https://board.example/post/', d.doc_id) as url,
-         d.text as content, n_push, n_hate, n_neutral
-  from documents d join tally on d.doc_id = tally.post_id)"""
+         d.text as content, coalesce(n_push, 0) as n_push, coalesce(n_hate, 0) as n_hate,
+         coalesce(n_neutral, 0) as n_neutral
+  from documents d left join tally on d.doc_id = tally.post_id)"""
 
 
 _EXACT = _posts("first_ts")
 _HOURLY = _posts("date_trunc('hour', first_ts)")
 
+_IS_NEWS = """contains(title, '新聞') and not contains(title, 'Re: [新聞]')
+      and not contains(title, 'Fw: [新聞]')"""
+_NEWS = (
+    _HOURLY.replace("posts as (", "crawled as (", 1)
+    + f""",
+posts as (
+  select * from crawled
+  where post_id in (select max(post_id) from crawled where {_IS_NEWS} group by content))"""
+)
+
 _CALENDAR = """
 tagged as (
   select *, hour(posted_at) as hour, dayname(posted_at) as weekday,
          case when hour(posted_at) between 4 and 8 then 'WakeUp'
-              when hour(posted_at) between 9 and 17 then 'Work' else 'OutOfWork' end as hour_tag
+              when hour(posted_at) between 9 and 17 then 'Work'
+              when posted_at is not null then 'OutOfWork' end as hour_tag
   from posts)"""
 
 _TOKENS = r"""
@@ -112,8 +124,13 @@ scores as (
   from posts left join sums using (post_id))"""
 
 
+# The texts hold no Han characters, so segmenting them is splitting words from other signs.
+_SEGMENTED = r"array_to_string(regexp_extract_all(content, '[\p{L}\p{N}_]+|\S'), ' ')"
+
+
 def _cleaned(expression: str) -> str:
     out = expression
+    # The literal replacements of the cleaning step, in the order they apply.
     for old, new in [
         ("''s", " ''s"),
         ("''ve", " ''ve"),
@@ -134,7 +151,7 @@ def _cleaned(expression: str) -> str:
     return rf"lower(regexp_replace({out}, '^\s+|\s+$', '', 'g'))"
 
 
-_CLEANED = f"cleaned as (select post_id, {_cleaned('content')} as text from posts)"
+_CLEANED = f"cleaned as (select post_id, {_cleaned(_SEGMENTED)} as text from posts)"
 
 _VOCABULARY = r"""
 places as (
@@ -146,9 +163,8 @@ vocabulary as (
   from (select term, min({'doc': post_id, 'pos': pos}) as seen from places group by term))"""
 
 _ENCODED = """
-longest as (select max(len(string_split(text, ' '))) as l from cleaned),
 encoded as (
-  select post_id, list_resize(coalesce(ids, []), (select l from longest), 0) as ids
+  select post_id, coalesce(ids, []) as ids
   from cleaned left join (
     select post_id, list(term_id order by pos) as ids
     from places join vocabulary using (term) group by post_id) using (post_id))"""
@@ -206,6 +222,18 @@ list_sum(list_transform(range(0, 2001), lambda i:
   * pow(greatest(cos({low} + i * (({high}) - ({low})) / 2000.0), 0.0), df - 1)))
   * (({high}) - ({low})) / 2000.0 / 3.0"""
 
+_HAN = r"""
+shown as (select post_id, translate(content, 'aeiounrstl', '台北市政府今天宣布例') as content from posts),
+pieces as (
+  select post_id, regexp_extract_all(
+    regexp_replace(content, '(\p{Han}+)', ' \1 ', 'g'), '[\p{L}\p{N}_]+|\S') as raw from shown),
+tokenised as (
+  select post_id, regexp_extract_all(lower(array_to_string(flatten(list_transform(raw, lambda x:
+    case when regexp_full_match(x, '\p{Han}{2,}')
+         then list_transform(range(1, length(x)), lambda i: substring(x, i, 2))
+         else [x] end)), ' ')), '[\p{L}\p{N}_]{2,}') as words
+  from pieces)"""
+
 _SUMMARY = " union all ".join(
     f"""select '{c}' as measure, min({c}) as minimum,
       round(quantile_cont({c}, 0.25), 6) as q1, round(quantile_cont({c}, 0.5), 6) as median,
@@ -217,12 +245,26 @@ _SUMMARY = " union all ".join(
 ORACLES: dict[str, str] = {
     "posts_from_json": _sql(
         *_BASE,
-        "sums as (select post_id, sum(score) as score, count(*) as n from comments group by post_id)",
+        """sums as (
+          select post_id, sum(score) as score, count(*) as n,
+                 string_agg(user_id, ',' order by event_id) as users,
+                 string_agg(event_id, ',' order by event_id) as comment_texts
+          from comments group by post_id)""",
         select="""
         select url, title, author, strftime(posted_at, '%Y-%m-%d %H:%M:%S') as date,
-               md5(content) as content_md5, cast(score as bigint) as score, n as n_comments,
-               cast(score as bigint) as comment_score
-        from posts join sums using (post_id)""",
+               md5(content) as content_md5, cast(coalesce(score, 0) as bigint) as score,
+               coalesce(n, 0) as n_comments, coalesce(users, '') as users,
+               coalesce(comment_texts, '') as comment_texts,
+               cast(coalesce(score, 0) as bigint) as comment_score
+        from posts left join sums using (post_id)""",
+    ),
+    "json_rejects": """
+        select count(*) as accepted,
+               count(distinct doc_id // 100) filter ((doc_id // 100) % 7 = 0) as rejected_files
+        from documents""",
+    "dedup_recrawled": _sql(
+        *_BASE,
+        select="select post_id, url, md5(content) as content_md5, n_push, n_hate, n_neutral from posts",
     ),
     "csv_roundtrip": _sql(
         *_BASE,
@@ -243,7 +285,8 @@ ORACLES: dict[str, str] = {
                regexp_extract_all(html, '<p>([^<]*)', 1)[1] as first_paragraph,
                regexp_extract_all(html, '<p>([^<]*)', 1)[-1] as last_paragraph
         from pages
-        where not contains(html, 'over18-notice') and regexp_matches(html, '<title>[^<]*</title>')""",
+        where not regexp_matches(html, '<[^>]*\\bclass="(?:[^"]*\\s)?over18-notice[\\s"]')
+          and regexp_matches(html, '<title>[^<]*</title>')""",
     "page_text": f"""
         select page_id, length(body) as n_chars, md5(body) as content_md5
         from (select page_id, {_DECODE.format(
@@ -277,13 +320,9 @@ ORACLES: dict[str, str] = {
     ),
     "news_posts": _sql(
         *_BASE,
-        select=rf"""
-        select post_id, title, {_TIME}, url,
-               md5(array_to_string(
-                 regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+|\S'), ' ')) as content_split_md5
-        from posts
-        where contains(title, '新聞') and not contains(title, 'Re: [新聞]')
-          and not contains(title, 'Fw: [新聞]')""",
+        select=f"""
+        select post_id, title, url, md5({_SEGMENTED}) as content_split_md5
+        from posts where {_IS_NEWS}""",
     ),
     "segment_text": _sql(
         *_BASE,
@@ -440,8 +479,9 @@ ORACLES: dict[str, str] = {
         *_BASE,
         _CALENDAR,
         select="""
-        select post_id, hour_tag, cast(hour_tag = 'OutOfWork' as double) as hot_1,
-               cast(hour_tag = 'WakeUp' as double) as hot_2, cast(hour_tag = 'Work' as double) as hot_3
+        select post_id, hour_tag, coalesce(cast(hour_tag = 'OutOfWork' as double), 0) as hot_1,
+               coalesce(cast(hour_tag = 'WakeUp' as double), 0) as hot_2,
+               coalesce(cast(hour_tag = 'Work' as double), 0) as hot_3
         from tagged""",
     ),
     "model_rows": _sql(
@@ -464,8 +504,10 @@ ORACLES: dict[str, str] = {
         select post_id, cast(len(ids) + 6 as bigint) as n_features,
                md5(array_to_string(ids, ' ')) as ids_md5,
                round(score_positive, 6) as meta_1, round(score_hate, 6) as meta_2,
-               round(score_neutral, 6) as meta_3, cast(hour_tag = 'OutOfWork' as double) as meta_4,
-               cast(hour_tag = 'WakeUp' as double) as meta_5, cast(hour_tag = 'Work' as double) as meta_6
+               round(score_neutral, 6) as meta_3,
+               coalesce(cast(hour_tag = 'OutOfWork' as double), 0) as meta_4,
+               coalesce(cast(hour_tag = 'WakeUp' as double), 0) as meta_5,
+               coalesce(cast(hour_tag = 'Work' as double), 0) as meta_6
         from encoded join scores using (post_id) join tagged using (post_id)""",
     ),
     "split_rows": _sql(*_BASE, _RANKED, select="select post_id, rank, split from parted"),
@@ -549,4 +591,82 @@ ORACLES: dict[str, str] = {
                (select round(sqrt(avg(e)), 6) from errors) as rmse
         from (select batch, sqrt(avg(e)) as root from errors group by batch)""",
     ),
+    "trend_scores_lda": _sql(
+        *_BASE_HOURLY,
+        *_KEYWORDS,
+        _WINDOWS,
+        _MEMBERS,
+        _SCORED_BY,
+        select="""
+        select post_id,
+               coalesce(window_id in (select window_id from members join kept using (post_id)), false)
+                 and post_id in (select post_id from kept) as scored,
+               true as possible
+        from posts left join scored_by using (post_id)""",
+    ),
+    "padded_batches": _sql(
+        *_BASE,
+        _CLEANED,
+        _VOCABULARY,
+        _ENCODED,
+        _RANKED,
+        """dealt as (
+          select post_id, n_hate, ids, (row_number() over (order by md5('57:0:' || post_id), post_id) - 1) // 64 as batch
+          from parted join encoded using (post_id) where split = 'train')""",
+        """filled as (
+          select batch, post_id, n_hate, list_resize(ids, max(len(ids)) over (partition by batch), 0) as ids
+          from dealt)""",
+        select="""
+        select batch, post_id, cast(len(ids) as bigint) as n_ids, md5(array_to_string(ids, ' ')) as ids_md5,
+               n_hate from filled""",
+    ),
+    "ngram_counts": _sql(
+        *_BASE,
+        _CLEANED,
+        r"""lengths as (
+          select post_id, len(regexp_extract_all(text, '[''\p{L}\p{N}_-]+')) as n from cleaned)""",
+        select="""
+        select post_id, cast(width as bigint) as width, cast(greatest(n - width + 1, 0) as bigint) as n_ngrams
+        from lengths, (select unnest([2, 3, 4]) as width)""",
+    ),
+    "ngram_regression": _sql(
+        *_BASE,
+        _RANKED,
+        select="""
+        select split, count(*) as n_rows, round(avg(n_hate), 6) as mean_label,
+               case when split = 'train' then 0.0::double end as train_gap,
+               case when split = 'train' then true end as train_fits
+        from parted group by split""",
+    ),
+    "ablation_rmse": _sql(
+        *_BASE,
+        _RANKED,
+        select="""
+        select features, split, count(*) as n_rows, round(avg(n_hate), 6) as mean_label,
+               case when split = 'train' then 0.0::double end as train_gap,
+               case when split = 'train' then true end as train_fits
+        from parted, (select unnest(['text', 'text+scores', 'text+scores+tag']) as features)
+        group by features, split""",
+    ),
+    "batch_errors": _sql(
+        *_BASE,
+        _RANKED,
+        """errors as (
+          select (rank - 2) // 64 as batch, (n_hate - before) ** 2 as e
+          from (select *, lag(n_hate) over (order by rank) as before from ranked) where rank > 1)""",
+        select="""
+        select count(*) as n_batches, round(avg(root), 6) as rmse_batches,
+               (select round(sqrt(avg(e)), 6) from errors) as rmse
+        from (select batch, sqrt(avg(e)) as root from errors group by batch)""",
+    ),
+    "han_terms": _sql(*_BASE, _HAN, _COUNTS, select="select post_id, term, tf from counts"),
+    "news_trend": _sql(
+        _COMMENTS,
+        _TALLY,
+        _NEWS,
+        *_TREND[len(_BASE_HOURLY):],
+        select="""
+        select post_id, round(score_positive, 6) as score_positive, round(score_hate, 6) as score_hate,
+               round(score_neutral, 6) as score_neutral, scored from scores""",
+    ),
 }

@@ -16,7 +16,7 @@ def comments(spark: SparkSession, folder: str) -> DataFrame:
     """Events as comments, ten per post, with a vote code by event type."""
     kind = F.col("event_type")
     return table(spark, folder, "events").select(
-        F.floor(F.col("event_id") / 10).cast("long").alias("post_id"),
+        F.expr("event_id div 10").alias("post_id"),
         "event_id",
         "ts",
         "user_id",
@@ -38,14 +38,22 @@ def _title(post_id: Column, source: Column) -> Column:
     return F.concat(prefix, source)
 
 
-def posts(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
-    """Documents with the votes of their comments, dated by the first comment.
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as posts without votes or date: a scan and a projection, nothing else."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("post_id"),
+        _title(F.col("doc_id"), F.col("source")).alias("title"),
+        F.col("source").alias("author"),
+        F.concat(F.lit("https://board.example/post/"), F.col("doc_id").cast("string")).alias("url"),
+        F.col("text").alias("content"),
+    )
 
-    ``hourly`` cuts the date to the hour, which puts many posts exactly on window borders.
 
-    The documents are partitioned by post up front. The join with the votes needs that anyhow once
-    these are too many to broadcast, later steps per post find it in place, and a table that comes
-    as one row group is spread over all cores.
+def dated_votes(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
+    """``(post_id, posted_at, n_push, n_hate, n_neutral)`` of every document, without its text.
+
+    The date is that of the first comment, cut to the hour if ``hourly``, which puts many posts
+    exactly on window borders. A document without comments has no date and no votes.
     """
     votes = (
         comments(spark, folder)
@@ -55,14 +63,13 @@ def posts(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
     if hourly:
         day = F.col("posted_at").cast("date").cast("timestamp_ntz")
         votes = votes.withColumn("posted_at", day + F.make_dt_interval(hours=F.hour("posted_at")))
-    docs = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("post_id"),
-        _title(F.col("doc_id"), F.col("source")).alias("title"),
-        F.col("source").alias("author"),
-        F.concat(F.lit("https://board.example/post/"), F.col("doc_id").cast("string")).alias("url"),
-        F.col("text").alias("content"),
-    )
-    return docs.repartition("post_id").join(votes, "post_id")
+    ids = table(spark, folder, "documents").select(F.col("doc_id").alias("post_id"))
+    return ids.join(votes, "post_id", "left").na.fill(0, ["n_push", "n_hate", "n_neutral"])
+
+
+def posts(spark: SparkSession, folder: str, hourly: bool = False) -> DataFrame:
+    """``texts`` with their dates and votes. The join decides for itself whether to shuffle."""
+    return texts(spark, folder).join(dated_votes(spark, folder, hourly), "post_id")
 
 
 def keyword_topics(kept: DataFrame, n_topics: int = 20) -> DataFrame:
@@ -134,7 +141,7 @@ def board_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</body></html>"),
     )
     gate = F.lit('<html><body><div class="over18-notice">18?</div></body></html>')
-    return docs.repartition("post_id").join(pushes, "post_id").select(
+    return docs.join(pushes, "post_id").select(
         F.col("post_id").alias("page_id"),
         F.concat(F.lit("https://board.example/post/"), F.col("post_id").cast("string")).alias("url"),
         F.when(n == 49, gate).otherwise(html).alias("html"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,14 +35,16 @@ def session(app: str = "postsignal", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting (it then gets a temporary folder), since on
-    a cluster the executors would not see each other's files.
+    Only a session whose driver is its one executor may go without that setting. It then gets a
+    temporary folder, which is deleted when the process ends; a folder that was set is its owner's.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="postsignal-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 

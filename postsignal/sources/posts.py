@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 COMMENT = T.StructType(
     [
         T.StructField("user", T.StringType()),
@@ -27,22 +29,32 @@ POST_SCHEMA = T.StructType(
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def _json(spark: SparkSession, schema: T.StructType, mode: str):
+    reader = spark.read.schema(schema).option("multiLine", True).option("mode", mode)
+    return reader.option("timestampNTZFormat", TIME_FORMAT)
+
+
 def read_json(
     spark: SparkSession, paths: str | list[str], schema: T.StructType = POST_SCHEMA
 ) -> DataFrame:
     """Posts of many files, each one JSON array; rows of all files follow each other.
 
-    Such a file cannot be split, so a crawl should be many files. Missing fields are null. What
-    does not parse gives a row without a title, which is dropped.
+    Such a file cannot be split, so a crawl should be many files. Missing fields are null. A file
+    that does not parse ends the job; ``read_json_or_reject`` hands such files over instead.
     """
-    read = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("timestampNTZFormat", TIME_FORMAT)
-        .json(paths)
-    )
-    return read.filter(F.col("title").isNotNull())
+    return _json(spark, schema, "FAILFAST").json(paths)
+
+
+def read_json_or_reject(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType = POST_SCHEMA
+) -> tuple[DataFrame, DataFrame]:
+    """``(posts, rejects)``: what parses, and ``(file, text)`` of each file or record that does not."""
+    marked = T.StructType([*schema, T.StructField("_rejected", T.StringType())])
+    read = _json(spark, marked, "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected").json(paths)
+    # Parsed once into a table: what was rejected cannot be asked for on its own while parsing.
+    read = written(read.withColumn("_file", F.col("_metadata.file_path")))
+    rejects = read.filter("_rejected is not null").select(F.col("_file").alias("file"), F.col("_rejected").alias("text"))
+    return read.filter("_rejected is null").drop("_rejected", "_file"), rejects
 
 
 def write_json_arrays(posts: DataFrame, path: str, file_key: str) -> None:
@@ -65,20 +77,41 @@ def write_epochs(batches: DataFrame, path: str) -> None:
     ).write.partitionBy("epoch").parquet(path)
 
 
+def _one_line(value: Column) -> Column:
+    """Text without line breaks: ``\\n``, ``\\r``, and ``\\b`` for a backslash."""
+    for plain, shown in (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r")):
+        value = F.replace(value, F.lit(plain), F.lit(shown))
+    return value
+
+
+def _as_it_was(value: Column) -> Column:
+    for plain, shown in (("\n", "\\n"), ("\r", "\\r"), ("\\", "\\b")):
+        value = F.replace(value, F.lit(shown), F.lit(plain))
+    return value
+
+
+def _on_text(df: DataFrame, change) -> DataFrame:
+    return df.select(*[change(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; text may hold quotes and line breaks."""
-    df.write.option("header", True).option("escape", '"').option("quoteAll", True).option(
+    """CSV with a header. Line breaks in texts are spelt out, so a row is a line and files can be split."""
+    _on_text(df, _one_line).write.option("header", True).option("escape", '"').option("quoteAll", True).option(
         "timestampNTZFormat", TIME_FORMAT
     ).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """CSV as ``write_csv`` makes it. Select the wanted columns; the rest is not converted."""
-    return (
+    """CSV as ``write_csv`` makes it. Select the wanted columns; the rest is not converted.
+
+    A malformed row ends the job.
+    """
+    read = (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .option("timestampNTZFormat", TIME_FORMAT)
         .csv(path)
     )
+    return _on_text(read, _as_it_was)

@@ -31,20 +31,20 @@ def step_tallies(comments: DataFrame, step: str = "6 hours", late: str = "6 hour
 def score_stream(
     topics: DataFrame,
     newest_index: Callable[[], DataFrame],
-    index_rows: int,
     out: str,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Scores each arriving batch of ``post_id, topic, p`` with the newest topic index.
+    """Scores each arriving batch of ``post_id, topics`` with the newest topic index.
 
-    ``newest_index`` is asked once per batch for ``topic, avg_*`` of at most ``index_rows`` rows.
-    A batch is written under its own number and overwrites itself when it is run again.
-    All topics of a post have to arrive in one batch.
+    ``topics`` is ``array<struct<topic, p>>``: a post is one row, so no batch border can divide it.
+    ``newest_index`` is asked once per batch for ``topic, avg_*``. A batch is written under its own
+    number and overwrites itself when it is run again.
     """
 
     def score(batch: DataFrame, number: int) -> None:
         index = newest_index().withColumn("window_id", F.lit(0))
-        scored = topic_scores(batch.withColumn("window_id", F.lit(0)), index, index_rows)
+        shares = batch.select("post_id", F.lit(0).alias("window_id"), F.inline("topics"))
+        scored = topic_scores(shares, index)
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (

@@ -36,6 +36,22 @@ def test_keep_last_of_whole_rows(spark):
     assert sorted(r["post_id"] for r in filters.keep_last(df).collect()) == [2, 3]
 
 
+def test_keep_last_with_repeated_keys(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "c"), (None, "c")]
+    df = spark.createDataFrame(rows, "post_id long, content string")
+    assert sorted(map(tuple, filters.keep_last(df).collect()), key=str) == [(1, "b"), (2, "a"), (None, "c")]
+
+
+def test_text_queries_neither_shuffle_texts_nor_read_votes(spark):
+    from conftest import DATA
+
+    from postsignal.plans import catalog
+
+    for name in ("clean_text", "tokens", "segment_text", "term_counts", "news_posts"):
+        plan = catalog.CATALOG[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "events.parquet" not in plan, name
+
+
 def by_hand_tfidf(texts):
     docs = [Counter(t.split()) for t in texts]
     df = Counter(t for d in docs for t in d)
@@ -114,14 +130,17 @@ def test_unknown_terms_become_zero_and_long_texts_are_cut(spark):
     assert encode.encoded_docs(docs, vocab, F.lit(3)).first()["word_ids"] == [1, 0, 2]
 
 
-def test_one_hot_order_and_too_many_labels(spark, monkeypatch):
+def test_one_hot_order(spark):
     df = contents(spark, ["Work", "WakeUp", "OutOfWork", None], "tag")
-    labels = encode.categories(df, "tag")
+    labels = ["Work", "OutOfWork", "WakeUp"]
     hot = df.orderBy("post_id").select(encode.one_hot(F.col("tag"), labels).alias("h")).collect()
     assert [r["h"] for r in hot] == [[0, 0, 1], [0, 1, 0], [1, 0, 0], [0, 0, 0]]
-    monkeypatch.setattr(encode, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError):
-        encode.categories(df, "tag")
+
+
+def test_padding_reaches_the_longest_of_the_batch_only(spark):
+    rows = spark.createDataFrame([(0, [1]), (0, [1, 2, 3]), (1, [4]), (1, [])], "batch long, word_ids array<bigint>")
+    got = sorted((r["batch"], r["word_ids"]) for r in encode.padded_by(rows, "batch").collect())
+    assert got == [(0, [1, 0, 0]), (0, [1, 2, 3]), (1, [0]), (1, [4])]
 
 
 @pytest.mark.parametrize("n", [0, 1, 4, 7, 101, 1000])

@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_entry_has_rows(spark):
-    assert contract.entry(spark).count() == 100
+    assert contract.entry(spark).count() == 200  # documents without comments are posts without votes
 
 
 def test_every_oracle_has_its_query():

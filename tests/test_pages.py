@@ -74,3 +74,12 @@ def test_links_of_a_list_page(spark):
     df = spark.createDataFrame([(1, "https://www.b.example/bbs/b/index2.html", body)], "page_id long, url string, html string")
     got = [tuple(r) for r in pages.page_links(df, ["b.example"], pages.BOARD_LINKS).collect()]
     assert got == [(1, 0, "/bbs/b/M.1.html", "https://www.b.example/bbs/b/M.1.html", "www.b.example", True)]
+
+
+def test_the_gates_name_in_a_text_is_no_gate(spark):
+    rows = [
+        (1, '<p>over18-notice</p><a title="over18-notice">x</a>'), (2, '<div class="a over18-notice b">x</div>'),
+        (3, "<div id='z' class=\"over18-notice\">x</div>"), (4, '<div class="not-over18-notice">x</div>'),
+    ]
+    left = pages.without_gates(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert sorted(r["page_id"] for r in left) == [1, 4]

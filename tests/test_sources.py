@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from postsignal.session import shared_folder, written
@@ -13,15 +14,20 @@ def test_json_arrays_of_several_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([post, {"title": "t2"}]))
     (tmp_path / "b.json").write_text(json.dumps([{"title": "t3", "comments": []}]))
     (tmp_path / "c.json").write_text("[{broken")
-    rows = {r["title"]: r for r in files.read_json(spark, str(tmp_path / "*.json")).collect()}
-    assert sorted(rows) == ["t1", "t2", "t3"]
+    (tmp_path / "d.json").write_text(json.dumps([{"author": "no title"}]))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_json(spark, str(tmp_path / "*.json")).collect()
+    kept, rejects = files.read_json_or_reject(spark, str(tmp_path / "*.json"))
+    rows = {r["title"]: r for r in kept.collect()}
+    assert set(rows) == {"t1", "t2", "t3", None}
+    assert [(r["file"].rsplit("/")[-1], r["text"]) for r in rejects.collect()] == [("c.json", "[{broken")]
     assert rows["t1"]["date"] == datetime(2017, 4, 5, 12, 34, 56) and rows["t1"]["comments"][0]["score"] == 1
     assert rows["t2"]["content"] is None
 
 
 def test_csv_keeps_quotes_breaks_and_columns(spark, tmp_path):
     df = spark.createDataFrame(
-        [(1, 'a "b", c\nd', datetime(2024, 1, 1, 2, 3, 4)), (2, "back\\slash 新聞", None)],
+        [(1, 'a "b", c\nd', datetime(2024, 1, 1, 2, 3, 4)), (2, "back\\slash \\n \\b 新聞\r\n", None), (3, None, None)],
         "post_id long, content string, posted_at timestamp_ntz",
     )
     files.write_csv(df, str(tmp_path / "out"))

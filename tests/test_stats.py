@@ -61,3 +61,10 @@ def test_tally_with_one_post_holding_a_third_of_the_comments(spark):
     )
     got = {r["post_id"]: (r["n_push"], r["n_neutral"]) for r in tally.vote_tally(df).collect()}
     assert got[0] == (1500, 1500) and len(got) == 6001
+
+
+def test_welch_without_variance_is_null(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 2)], "g string, v int")
+    got = stats.welch(df, "g", "a", "b", "v").first()
+    assert (got["n1"], got["mean1"], got["mean2"]) == (2, 1.0, 2.0)
+    assert got["t"] is None and got["df"] is None and got["p_value"] is None

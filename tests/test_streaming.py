@@ -22,7 +22,10 @@ def test_step_tallies(spark, tmp_path):
 
 
 def test_scores_use_the_newest_index(spark, tmp_path):
-    topics = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5), (2, 1, 1.0)], "post_id long, topic long, p double")
+    topics = spark.createDataFrame(
+        [(1, [(0, 0.5), (1, 0.5)]), (2, [(1, 1.0)]), (3, [])],
+        "post_id long, topics array<struct<topic: bigint, p: double>>",
+    )
     topics.coalesce(1).write.parquet(str(tmp_path / "in"))
     index = spark.createDataFrame(
         [(0, 1.0, 10.0, 0.0), (1, 3.0, 20.0, 0.0)],
@@ -30,6 +33,6 @@ def test_scores_use_the_newest_index(spark, tmp_path):
     )
     stream = spark.readStream.schema(topics.schema).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
-    rescore.score_stream(stream, lambda: index, 2, out, str(tmp_path / "cp")).awaitTermination(120)
+    rescore.score_stream(stream, lambda: index, out, str(tmp_path / "cp")).awaitTermination(120)
     got = {r["post_id"]: r["score_hate"] for r in spark.read.parquet(out).collect()}
     assert got == pytest.approx({1: 15.0, 2: 20.0})
