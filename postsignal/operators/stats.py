@@ -81,15 +81,14 @@ def _simpson(upper: Column, lower: Column, power: Column, panels: int) -> Column
 def t_two_sided(t: Column, df: Column, panels: int = 2000) -> Column:
     """Two-sided p-value of Student's t, as the tail share of the integral of cos^(df-1).
 
-    For many degrees of freedom the mass sits near 0, so the integrals stop where the rest is nil.
+    Both integrals end where cos^(df-1) falls under e^-42, which is a quarter turn for few degrees of
+    freedom and close to 0 for many.
     """
-    root = F.sqrt(df)
-    low = F.atan(F.abs(t) / root)
-    half = F.lit(1.5707963267948966)
-    tail_end = F.when(df >= 500, F.atan((F.abs(t) + 12.0) / root)).otherwise(half)
-    full_end = F.when(df >= 500, F.atan(F.lit(12.0) / root)).otherwise(half)
     power = df - 1.0
-    return _simpson(tail_end, low, power, panels) / _simpson(full_end, F.lit(0.0), power, panels)
+    low = F.atan(F.abs(t) / F.sqrt(df))
+    end = F.acos(F.exp(F.lit(-42.0) / F.greatest(power, F.lit(1e-9))))
+    tail = _simpson(F.greatest(end, low), low, power, panels)
+    return F.try_divide(tail, _simpson(end, F.lit(0.0), power, panels))
 
 
 def welch(df: DataFrame, group: str, first: str, second: str, value: str) -> DataFrame:

@@ -557,8 +557,8 @@ ORACLES: dict[str, str] = {
                  (e1 + e2) ** 2 / (e1 ** 2 / (n1 - 1) + e2 ** 2 / (n2 - 1)) as df from m)""",
         """bounds as (
           select *, atan(abs(t) / sqrt(df)) as a,
-                 case when df >= 500 then atan((abs(t) + 12) / sqrt(df)) else pi() / 2 end as b,
-                 case when df >= 500 then atan(12 / sqrt(df)) else pi() / 2 end as c from tested)""",
+                 greatest(acos(exp(-42.0 / greatest(df - 1, 1e-9))), atan(abs(t) / sqrt(df))) as b,
+                 acos(exp(-42.0 / greatest(df - 1, 1e-9))) as c from tested)""",
         select=f"""
         select n1, n2, round(mean1, 6) as mean1, round(mean2, 6) as mean2, round(t, 6) as t,
                round(df, 6) as df,
