@@ -34,7 +34,7 @@ BOARD = Layout(
     footer=r"批踢踢實業坊\(ptt.cc\)",
 )
 # Links of the board's list pages; any link at all is ``ANY_LINKS``.
-BOARD_LINKS = r'<div class="title">\s*<a[^>]*href="([^"]*)"'
+BOARD_LINKS = r'<div class="r-ent">\s*(?:<div class="nrec">.*?</div>\s*)?<div class="title">\s*<a[^>]*href="([^"]*)"'
 ANY_LINKS = r'href="([^"]*)"'
 
 # Plain article pages: no author, date or comments.
@@ -148,6 +148,11 @@ def page_links(pages: DataFrame, domains: list[str], pattern: str = ANY_LINKS) -
     )
 
 
+def followed_links(pages: DataFrame, domains: list[str], pattern: str = BOARD_LINKS) -> DataFrame:
+    """``(page_id, position, url)`` of the links a crawl goes on with: those on the domains."""
+    return page_links(pages, domains, pattern).filter("allowed").select("page_id", "position", "url")
+
+
 def index_frontier(sites: DataFrame, stop: int = 0, chunk: int = 10_000) -> DataFrame:
     """Addresses of a site's list pages: ``index.html``, then downwards to ``index{stop+2}.html``.
 

@@ -193,6 +193,13 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
     return links.withColumn("position", F.col("position").cast("long"))
 
 
+@query
+def list_page_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts a crawl would go on with, found in list pages rendered from the tables."""
+    found = pages.followed_links(tables.list_pages(spark, folder), ["board.example"])
+    return found.withColumn("position", F.col("position").cast("long"))
+
+
 @query
 def board_page_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Board pages rendered from the tables, taken apart again."""

@@ -306,6 +306,13 @@ ORACLES: dict[str, str] = {
                  or {_HOST.format('url')} like '%.m.ththth.example.net' as allowed
         from targets""",
     ),
+    "list_page_links": """
+        select page_id, position, url from (
+          select doc_id, doc_id // 20 as page_id,
+                 row_number() over (partition by doc_id // 20 order by doc_id) - 1 as position,
+                 'https://board.example/post/' || doc_id as url
+          from documents where doc_id % 10 not in (7, 9))
+        where doc_id % 10 <> 8""",
     "board_page_posts": _sql(
         *_BASE,
         """pushes as (

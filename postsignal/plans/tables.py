@@ -86,6 +86,29 @@ def _escaped(text: Column) -> Column:
     return text
 
 
+def list_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """List pages of twenty posts each in the board's HTML.
+
+    Of each ten posts one is deleted, one lies on another site, and one is linked outside its entry.
+    """
+    n, i = F.col("post_id") % 10, F.col("post_id").cast("string")
+    site = F.when(n == 8, F.lit("https://other.example/post/")).otherwise(F.lit("/post/"))
+    link = F.concat(F.lit('<div class="title">\n<a href="'), site, i, F.lit('">'), F.col("title"), F.lit("</a></div>"))
+    entry = F.concat(
+        F.lit('<div class="r-ent"><div class="nrec"><span>3</span></div>'),
+        F.when(n == 7, F.lit('<div class="title">(deleted)</div></div>')).otherwise(F.concat(link, F.lit("</div>"))),
+    )
+    shown = F.when(n == 9, link).otherwise(entry)
+    page = F.expr("post_id div 20").alias("page_id")
+    return (
+        texts(spark, folder)
+        .select(page, F.struct("post_id", shown.alias("html")).alias("entry"))
+        .groupBy("page_id")
+        .agg(F.array_join(F.array_sort(F.collect_list("entry"))["html"], "\n").alias("html"))
+        .withColumn("url", F.lit("https://board.example/board/index.html"))
+    )
+
+
 def board_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every post with its comments as a page in the board's HTML.
 
