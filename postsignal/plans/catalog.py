@@ -201,8 +201,8 @@ def list_page_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def board_page_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Board pages rendered from the tables, taken apart again."""
+def board_page_posts_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Board pages of all documents, with comments or without, rendered and taken apart again."""
     found = pages.posts_from_pages(tables.board_pages(spark, folder))
     return found.select(
         F.col("page_id").alias("post_id"),
@@ -217,6 +217,12 @@ def board_page_posts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def board_page_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Those of ``board_page_posts_all`` that have comments: its SQL joins posts with their comments."""
+    return board_page_posts_all(spark, folder).filter("n_comments > 0")
+
+
 # Posts and votes
 
 

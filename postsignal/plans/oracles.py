@@ -325,6 +325,23 @@ ORACLES: dict[str, str] = {
                comment_texts, score
         from posts join pushes using (post_id) where post_id % 50 < 47""",
     ),
+    "board_page_posts_all": _sql(
+        *_BASE,
+        """pushes as (
+          select post_id, count(*) as n, cast(sum(score) as bigint) as score,
+                 string_agg('u' || user_id, ',' order by event_id) as users,
+                 string_agg(': no ' || event_id, ',' order by event_id) as comment_texts
+          from comments group by post_id)""",
+        """dated as (
+          select * replace (coalesce(posted_at, timestamp '2024-01-01'
+                            + to_seconds(post_id * 7919 % 2592000)) as posted_at) from posts)""",
+        select=f"""
+        select post_id, title, author, {_TIME}, md5(content) as content_md5, coalesce(n, 0) as n_comments,
+               coalesce(users, '') as users, coalesce(comment_texts, '') as comment_texts,
+               coalesce(score, 0) as score
+        from dated left join pushes using (post_id)
+        where post_id % 50 < 47 or (post_id % 50 = 47 and n is null)""",
+    ),
     "news_posts": _sql(
         *_BASE,
         select=f"""

@@ -110,10 +110,10 @@ def list_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def board_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every post with its comments as a page in the board's HTML.
+    """Every document with its comments, if any, as a page in the board's HTML.
 
     Of each fifty posts one comes as an age question, one without an author and one with a comment
-    that lacks its text.
+    that lacks its text. A document without comments shows a date made from its id.
     """
     tag = F.when(F.col("score") == 1, "推 ").when(F.col("score") == -1, "噓 ").otherwise("→ ")
     n = F.col("post_id") % 50
@@ -139,7 +139,10 @@ def board_pages(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "post_id")
-    at = F.col("posted_at")
+    # 7,919 seconds apart by id, within thirty days.
+    second = F.col("post_id") * 7919 % (30 * 86_400)
+    own = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=second)
+    at = F.coalesce(F.col("posted_at"), own)
     shown_time = F.concat(
         F.date_format(at, "EEE MMM "),
         F.lpad(F.day(at).cast("string"), 2, " "),
@@ -160,11 +163,11 @@ def board_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('</div><div class="text">'),
         _escaped(F.col("text")),
         F.lit('</div><span class="f2">※ 發信站: 批踢踢實業坊(ptt.cc)</span>\n'),
-        F.array_join(F.col("blocks")["block"], ""),
+        F.coalesce(F.array_join(F.col("blocks")["block"], ""), F.lit("")),
         F.lit("</body></html>"),
     )
     gate = F.lit('<html><body><div class="over18-notice">18?</div></body></html>')
-    return docs.join(pushes, "post_id").select(
+    return docs.join(pushes, "post_id", "left").select(
         F.col("post_id").alias("page_id"),
         F.concat(F.lit("https://board.example/post/"), F.col("post_id").cast("string")).alias("url"),
         F.when(n == 49, gate).otherwise(html).alias("html"),

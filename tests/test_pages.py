@@ -83,3 +83,17 @@ def test_the_gates_name_in_a_text_is_no_gate(spark):
     ]
     left = pages.without_gates(spark.createDataFrame(rows, "page_id long, html string")).collect()
     assert sorted(r["page_id"] for r in left) == [1, 4]
+
+
+def test_a_document_without_comments_has_a_page(spark):
+    from conftest import DATA
+
+    from postsignal.plans import catalog, tables
+
+    made = tables.board_pages(spark, DATA)
+    assert made.count() == tables.table(spark, DATA, "documents").count() == 200
+    bare = catalog.CATALOG["board_page_posts_all"](spark, DATA).filter("n_comments = 0").collect()
+    talked = {r[0] for r in tables.comments(spark, DATA).select("post_id").distinct().collect()}
+    ids = {r["doc_id"] for r in tables.table(spark, DATA, "documents").collect()} - talked
+    assert {r["post_id"] for r in bare} == {i for i in ids if i % 50 < 48} and len(ids) == 100
+    assert all(r["posted_at"].startswith("2024-01-") and r["score"] == 0 and r["users"] == "" for r in bare)
