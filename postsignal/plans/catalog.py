@@ -597,15 +597,13 @@ def _regression_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def ngram_regression(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, mean label and errors per split of the model with all features.
+    """Rows, mean label and two checks of the fit per split, of the model with all features.
 
-    A least-squares fit with an intercept has the mean label as its mean prediction and no larger
+    Errors are in ``regression_errors``: they depend on trained weights and have no SQL. A least-squares fit with an intercept has the mean label as its mean prediction and no larger
     error than that mean on the rows it was fitted to; ``train_gap`` and ``train_fits`` say so.
     """
     rows = _regression_rows(spark, folder)
-    train = rows.filter(F.col("split") == "train")
-    model = regress.fit(train, regress.FEATURE_SETS["text+scores+tag"])
-    predicted = written(model.transform(rows).select("post_id", "split", "label", "prediction"))
+    predicted = written(regress.predictions(rows, ["text+scores+tag"]))
     return _checked(predicted.groupBy("split"))
 
 
@@ -627,24 +625,27 @@ def _checked(grouped) -> DataFrame:
 @query
 def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Word sequences of each width per post, as the regression sees them."""
-    found = regress.tokens(F.col("content"))
-    sized = tables.texts(spark, folder).select("post_id", F.size(found).alias("n"))
-    width = F.explode(F.array(*[F.lit(w) for w in (2, 3, 4)])).alias("width")
-    return sized.select("post_id", "n", width).select(
-        "post_id", F.col("width").cast("long").alias("width"), F.greatest(F.col("n") - F.col("width") + 1, F.lit(0)).cast("long").alias("n_ngrams")
-    )
+    found = F.coalesce(regress.tokens(F.col("content")), F.array().cast("array<string>"))
+    made = regress.with_ngrams(tables.texts(spark, folder).select("post_id", found.alias("tokens")))
+    sizes = [
+        F.struct(F.lit(w).cast("long").alias("width"), F.size(f"ngrams_{w}").cast("long").alias("n_ngrams"))
+        for w in regress.WIDTHS
+    ]
+    return made.select("post_id", F.inline(F.array(*sizes)))
 
 
 @query
 def ablation_rmse(spark: SparkSession, folder: str) -> DataFrame:
     """The same checks for each of the three feature sets."""
     rows = _regression_rows(spark, folder)
-    out = None
-    for name, meta in regress.FEATURE_SETS.items():
-        model = regress.fit(rows.filter(F.col("split") == "train"), meta)
-        part = model.transform(rows).select(F.lit(name).alias("features"), "split", "label", "prediction")
-        out = part if out is None else out.unionByName(part)
-    return _checked(out.groupBy("features", "split"))
+    return _checked(regress.predictions(rows).groupBy("features", "split"))
+
+
+@query
+def regression_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of the fitted models' predictions, whole and by batch, per feature set and split."""
+    predicted = written(regress.predictions(_regression_rows(spark, folder)))
+    return _rounded(regress.errors(predicted), "rmse_batches", "rmse", "rmse_mean")
 
 
 @query
