@@ -4,7 +4,8 @@ Pattern kinds are ``assign``, ``access`` and ``hex``. The other kinds are report
 candidate is decoded and what is inside reads as a key or a signed token to its last byte:
 
 * ``jwt``: three base64url parts whose first is a JSON header with ``alg``, the second a JSON object;
-* ``pem``: a private-key block whose body decodes to one of the encodings below;
+* ``pem``: a private-key block whose body decodes to one of the encodings below, or that has a header
+  of encryption and a body that decodes; its line breaks may be written as backslash-n;
 * ``key``: a base64 run holding a DER private key (nested lengths must add up), an OpenSSH key or a
   chain of length-prefixed fields that starts with a key type;
 * ``hexkey``: the same in hex.
@@ -42,7 +43,11 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+# Up to its own END line; a further BEGIN ends the search, so no stray one swallows the block after it.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
+# Line breaks as JSON and .env files write them; headers of an encrypted body.
+BREAK = re.compile(r"\\+[nr]")
+SEALED = re.compile(r"Proc-Type: *4 *, *ENCRYPTED|DEK-Info: *[A-Za-z0-9-]+(?: *, *[0-9A-Fa-f]+)?")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEXES = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 # Names of key types in length-prefixed encodings.
@@ -141,6 +146,21 @@ def is_token(match: re.Match) -> bool:
     return header is not None and isinstance(header.get("alg"), str) and _object(match[2]) is not None
 
 
+def is_block(raw: str) -> bool:
+    """Whether ``raw``, what stands between BEGIN and END, is a key or an encrypted one."""
+    text = BREAK.sub("\n", raw)
+    bare = SEALED.sub("\n", text)
+    sealed = bare != text
+    lines = [line.split() for line in bare.splitlines()]
+    # Other headers fill their lines; where line breaks are lost, only the word with the colon is one.
+    for words in ([w for line in lines for w in line if ":" not in w], [w for line in lines if ":" not in "".join(line) for w in line]):
+        body = "".join(words)
+        data = None if "-" in body else from_base64(body)
+        if is_key(data) or (sealed and data):
+            return True
+    return False
+
+
 def spans(text: str) -> list[tuple[int, str, int]]:
     """``(start, kind, end)`` of all secrets, in order."""
     out = []
@@ -154,13 +174,14 @@ def spans(text: str) -> list[tuple[int, str, int]]:
         out += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token(m)]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = "".join(line for line in m[2].split() if ":" not in line)
-            if is_key(from_base64(body)):
+            if is_block(m[2]):
                 out.append((m.start(), "pem", m.end()))
     for m in BASE64.finditer(text):
         # What the encodings start with, as base64 shows it: 0x30, four zero-led bytes, "openssh".
-        if m[0].startswith(("M", "AAAA", "b3Blbn")) and is_key(from_base64(m[0])):
-            out.append((m.start(), "key", m.end()))
+        escaped = m[0][0] in "nr" and text[max(0, m.start() - 1) : m.start()] == "\\" and len(m[0]) > 40
+        start, run = m.start() + escaped, m[0][escaped:]
+        if run.startswith(("M", "AAAA", "b3Blbn")) and is_key(from_base64(run)):
+            out.append((start, "key", m.end()))
     for m in HEXES.finditer(text):
         if m[0].startswith(("30", "0000", "6f70656e", "6F70656E")) and is_key(bytes.fromhex(m[0])):
             out.append((m.start(), "hexkey", m.end()))

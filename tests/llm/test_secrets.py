@@ -91,3 +91,31 @@ def test_odd_rows(docs_of):
     assert by_id[1]["spans"] == by_id[2]["spans"] == "" and by_id[None]["spans"] == "assign:0:12"
     assert (by_id[None]["n_assign"], by_id[None]["n_access"], by_id[None]["n_hex"]) == (1, 0, 0)
     assert secrets.digest(secrets.find(docs_of([]))).collect() == []
+
+
+def block_of(data, label="RSA PRIVATE KEY", newline="\n", header=""):
+    body = text_of(data)
+    lines = [f"-----BEGIN {label}-----", *header.splitlines(), *[body[i : i + 64] for i in range(0, len(body), 64)], f"-----END {label}-----"]
+    return newline.join(lines)
+
+
+SEALED = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", " "])
+@pytest.mark.parametrize("header, data", [("", RSA), (SEALED, bytes(range(7, 167))), ("Comment: my own-key\n", RSA)])
+def test_blocks_with_written_line_breaks_and_headers(newline, header, data):
+    if newline == " " and "Comment" in header:
+        return  # where its line ends cannot be seen
+    block = block_of(data, newline=newline, header=header)
+    text = f'{{"key": "{block}"}}'
+    assert (9, "pem", 9 + len(block)) in secrets.spans(text)
+
+
+def test_blocks_that_are_none():
+    noise = bytes(range(7, 167))
+    assert "pem" not in kinds(block_of(noise, newline="\\n"))
+    assert "pem" not in kinds(block_of(noise, header=SEALED).replace("\nBw", "\n!!", 1))
+    stray = "-----BEGIN RSA PRIVATE KEY-----\nno end\n"
+    assert kinds(stray + block_of(RSA)).count("pem") == 1
+    assert kinds(f'"k": "a\\n{text_of(EC)}\\n"') == ["key"]
