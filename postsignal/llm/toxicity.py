@@ -2,9 +2,12 @@
 
 Learning, from labelled documents whose ids are not held out:
 
-* a sample of at most about ``sample`` documents per class gives one window of ``window`` words each;
-* words and word beginnings that are much more frequent in toxic documents than in the others mark
-  the words of toxic documents that carry them as toxic; all other words are clean;
+* a sample of at most about ``sample`` documents per class is drawn;
+* words and word beginnings that occur in a much larger share of the sampled toxic documents than of
+  the others, counted over whole texts, mark the words of toxic documents that carry them as toxic;
+  all other words are clean;
+* each sampled document gives one window of ``window`` words, around a place of such a word if it has
+  one, whatever its class;
 * the chain (word features, bias, transitions between two tags) is fitted to those tags;
 * a logistic curve over each sampled document's marginals, with the classes weighed as they occur,
   turns marginals into a score.
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
 from .names import unused
 
 WORD = re.compile(r"\w+")
@@ -97,23 +101,49 @@ class Chain:
         return ahead, back
 
 
-def fit_chain(windows: list[tuple[list[str], int]], steps: int = 60) -> Chain:
-    """The chain of labelled windows, by gradient steps on the likelihood of the tags."""
-    windows = [(list(words), label) for words, label in sorted({(tuple(w), label) for w, label in windows})]
-    seen = {0: Counter(), 1: Counter()}
-    size = Counter(label for _, label in windows)
-    for words, label in windows:
-        seen[label].update({f for w in set(words) for f in features(w)})
-    if not size[0] or not size[1]:
-        return Chain({}, -5.0, (0.0, 0.0, 0.0))
+def telling_features(texts: DataFrame) -> list[str]:
+    """At most ``FEATURES`` features that mark a toxic text, of ``(text, _label)``, each text once.
+
+    Documents per feature and class are counted over whole texts.
+    """
+    size = {r["_label"]: r["count"] for r in texts.groupBy("_label").count().collect()}
+    if not size.get(0) or not size.get(1):
+        return []
+
+    def run(batches):
+        counts = Counter()
 
-    def ratio(f: str) -> float:
-        return seen[1][f] / size[1] / ((seen[0][f] + 0.5) / size[0])
+        def flushed():
+            keys = list(counts)
+            made = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())]
+            counts.clear()
+            return pa.RecordBatch.from_arrays(made, ["feature", "label", "n"])
 
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1)):
+                low = set(WORD.findall(text.as_py() or ""))
+                counts.update((f, label.as_py()) for f in {f for w in low for f in features(w)})
+                if len(counts) > 100_000:
+                    yield flushed()
+        yield flushed()
+
+    def of(label: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
+
+    part = texts.select("text", "_label").mapInArrow(run, "feature string, label int, n long")
+    seen = part.groupBy("feature").agg(of(1).alias("toxic"), of(0).alias("clean"))
+    ratio = F.col("toxic") / size[1] / ((F.col("clean") + 0.5) / size[0])
     # Words that only copies of a few toxic documents share tell nothing.
-    least = max(LEAST, SHARE * size[1])
-    telling = [f for f, n in seen[1].items() if n >= least and ratio(f) >= RATIO]
-    telling = sorted(telling, key=lambda f: (-seen[1][f] * min(ratio(f), 100.0), f))[:FEATURES]
+    kept = seen.filter((F.col("toxic") >= max(LEAST, SHARE * size[1])) & (ratio >= RATIO))
+    best = kept.orderBy((F.col("toxic") * F.least(ratio, F.lit(100.0))).desc(), "feature").limit(FEATURES)
+    return [r["feature"] for r in best.select("feature").collect()]
+
+
+def fit_chain(windows: list[tuple[list[str], int]], telling: list[str], steps: int = 60) -> Chain:
+    """The chain of labelled windows, by gradient steps on the likelihood of the tags."""
+    windows = [(list(words), label) for words, label in sorted({(tuple(w), label) for w, label in windows})]
+    if len({label for _, label in windows}) < 2:
+        return Chain({}, -5.0, (0.0, 0.0, 0.0))
     number = {f: i for i, f in enumerate(telling)}
     # Windows go through in blocks of like length, so memory is bounded by one block's arrays.
     windows.sort(key=lambda w: (len(w[0]), w))
@@ -258,17 +288,29 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int
     drawn = F.broadcast(usable.filter(draw < share).withColumnRenamed("doc_id", "_doc"))
     chosen = docs.select("doc_id", "text").join(drawn, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "_label")
 
+    chosen = written(chosen)
+    once = chosen.groupBy(F.sha2("text", 256), "_label").agg(F.first("text").alias("text"), F.min("doc_id").alias("doc_id"))
+    once = written(once.select("doc_id", "text", "_label"))
+    telling = telling_features(once)
+    marks = frozenset(telling)
+
     def cut(batches):
         for batch in batches:
             words = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = WORD.findall(text or "")
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = WORD.findall(text.as_py() or "")
                 begin = (i * 2654435761) % max(1, len(own) - window + 1)
+                if len(own) > window and (marked := sorted(w for w in set(own) if not marks.isdisjoint(features(w)))):
+                    # Each marked word is as likely as any other, however often it occurs.
+                    word = marked[(i * 2654435761 >> 7) % len(marked)]
+                    places = [at for at, w in enumerate(own) if w == word]
+                    middle = places[(i * 2654435761 >> 13) % len(places)]
+                    begin = min(max(0, middle - window // 2), len(own) - window)
                 words.append(own[begin : begin + window])
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(2)], ["words", "label"])
 
-    rows = chosen.mapInArrow(cut, "words array<string>, label int").collect()
-    chain = fit_chain([(r["words"], r["label"]) for r in rows])
+    rows = once.mapInArrow(cut, "words array<string>, label int").collect()
+    chain = fit_chain([(r["words"], r["label"]) for r in rows], telling)
     seen = tagged(chosen, chain).select("expected", "strongest", "n_words", "_label")
     numbers = sorted((r["expected"], r["strongest"], r["n_words"], r["_label"]) for r in seen.collect())
     taken = Counter(r[3] for r in numbers)

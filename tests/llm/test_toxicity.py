@@ -64,3 +64,21 @@ def test_odd_rows(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     kept = toxicity.clean_documents(docs, none)
     assert kept.columns == docs.columns and kept.count() == 6
+
+
+def test_a_short_passage_in_a_long_text_is_learnt(spark, docs_of):
+    draw = np.random.default_rng(5)
+    bad = ["qip", "zam", "vok", "jub", "xet", "yrd"]
+    rows = []
+    for i in range(360):
+        words = [f"w{n}" for n in draw.integers(0, 200, 1_000)]
+        if i % 2:
+            at = int(draw.integers(0, 990))
+            words[at : at + 3] = [bad[i // 2 % 6]] * 3
+        rows.append((i, " ".join(words)))
+    docs, labels = docs_of(rows), spark.createDataFrame([(i, i % 2) for i in range(360)], "doc_id long, toxic int")
+    chain, _ = toxicity.learn(docs, labels, window=64)
+    assert set(chain.weights) >= {"=" + w for w in bad}
+    assert min(chain.emission(w) for w in bad) > 0 > chain.emission("w1")
+    held = [r for r in toxicity.score(docs, labels, window=64).collect() if r["held_out"]]
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in held) and len(held) > 60
