@@ -13,13 +13,16 @@ whole sequence as one). Two texts link when their sets' Jaccard similarity is at
   common shingles, and has sizes that allow a link; it is kept only if it also shares one in every
   other order. Then the whole sets are intersected.
 * Pairs are tried in two rounds. First each document of a prefix shingle is tried against that
-  shingle's hubs, which joins groups of copies in one step each. Then all pairs whose documents are
+  shingle's hubs, which joins groups of copies in one step each. Then pairs whose documents are
   still in different components are tried, so no link between components is lost while a group never
-  unfolds into all its pairs. A pair is made only if a table of parities of the two sets allows a
-  link, which leaves out near misses before they become rows.
-
-Null or empty text, or only blanks: empty set, linked with nothing, its own component. Equal rows:
-linked. Rows that repeat an id: versions of one document, linked through it. Null id: takes part in no
+  unfolds into all its pairs. This round has an order of its own, over the whole sets of the documents
+  that are left: shingles that only one component has come first and link nothing now, the others
+  follow by frequency. Hence a passage that very many documents share leads to no pairs among those
+  whose own words already fill the prefix. A pair is made only if a table of parities of the two sets
+  allows a link, which leaves out near misses before they become rows.
+
+Null or empty text, or only blanks: empty set, linked with nothing, its own component. Very long
+texts: read whole, some megabytes at a time. Ties of frequency: broken by hash. Equal rows: linked. Rows that repeat an id: versions of one document, linked through it. Null id: takes part in no
 link. Empty table: no rows. Other columns: left out by :func:`components`, kept by
 :func:`one_of_each`.
 """
@@ -41,6 +44,7 @@ from .words import chained, pieces, word_hashes
 
 ORDERS = 2
 PARITY = 16  # numbers of 64 cells
+SIGN = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -186,7 +190,11 @@ def prefixes(classes: DataFrame, rule: Rule) -> DataFrame:
         return F.transform(F.array_sort(F.transform("leading", lambda x: F.struct(key(x).alias("k"), x["shingle"].alias("s")))), lambda y: y["s"])
 
     left = F.greatest(F.col("length") - F.col("alone"), F.lit(0))
-    tail = F.when(F.col("length") > F.col("n_leading"), F.transform("tail", lambda x: x["shingle"])).otherwise(F.array().cast("array<bigint>"))
+    # Beyond the leading range, the order is that of the unsigned hashes, in which the rows were cut.
+    by_hash = F.array_sort(F.transform("tail", lambda x: x["shingle"].bitwiseXOR(F.lit(SIGN))))
+    tail = F.when(F.col("length") > F.col("n_leading"), F.transform(by_hash, lambda s: s.bitwiseXOR(F.lit(SIGN)))).otherwise(
+        F.array().cast("array<bigint>")
+    )
     keys = [
         lambda x: F.struct(x["df"], F.xxhash64(x["shingle"])),
         lambda x: F.struct(F.floor(F.log2(x["df"])), F.xxhash64(x["shingle"], F.lit(1))),
@@ -231,6 +239,35 @@ def verified(pairs: DataFrame, held: DataFrame, sets: DataFrame, rule: Rule) ->
     return both.filter(rule.links(F.col("common"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
+def bridges(open_docs: DataFrame, rule: Rule) -> DataFrame:
+    """``(doc, label, n, parity, shingle, place)``: prefixes for links between different labels.
+
+    ``open_docs`` has ``doc, label, n, hashes, parity``. In this round's order, shingles that only
+    documents of one label have come first; no two documents of different labels share one.
+    """
+    spread = open_docs.select("doc", "label", F.explode("hashes").alias("shingle"))
+    between = (
+        spread.groupBy("shingle")
+        .agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y"))
+        .filter("x < y")
+        .select("shingle", F.struct("df", F.xxhash64("shingle"), "shingle").alias("key"))
+    )
+    met = (
+        spread.select("doc", "shingle")
+        .join(between, "shingle")
+        .groupBy("doc")
+        .agg(F.array_sort(F.collect_list("key")).alias("keys"))
+        .join(open_docs.select("doc", "label", "n", "parity"), "doc")
+        .withColumn("alone", (F.col("n") - F.size("keys")).cast("int"))
+    )
+    left = rule.prefix(F.col("n")).cast("int") - F.col("alone")
+    entries = F.transform(
+        F.slice("keys", F.lit(1), F.greatest(left, F.lit(0))),
+        lambda key, i: F.struct(key["shingle"].alias("shingle"), (i + F.col("alone")).alias("place")),
+    )
+    return met.select("doc", "label", "n", "parity", F.inline(entries))
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``(node, label)`` of the class representatives that link with another."""
     held = written(prefixes(classes, rule))
@@ -259,7 +296,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame
     labels = connected(links)
     named = entries.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     mixed_up = named.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("shingle")
-    open_ = written(named.join(mixed_up, "shingle").join(sets.select("doc", "parity"), "doc"))
+    open_docs = named.join(mixed_up, "shingle").select("doc", "label").distinct()
+    open_ = written(bridges(written(open_docs.join(sets, "doc")), rule))
 
     def side(name: str, label: str) -> DataFrame:
         kept = [F.col(c).alias(f"{c}_{name}") for c in ("n", "place", "parity")]

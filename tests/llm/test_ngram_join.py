@@ -4,11 +4,14 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postsignal.llm import ngram_join
 from postsignal.llm.graph import connected
 from postsignal.llm.ngram_join import Rule
+from postsignal.llm.words import chained, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -101,3 +104,67 @@ def test_components_of_chains_and_stars(spark):
     links = spark.createDataFrame(chain + star + [(7, 7)], "a long, b long")
     got = {r["node"]: r["label"] for r in connected(links).collect()}
     assert got == {**{i: 10 for i in range(10, 61)}, **{i: 100 for i in range(100, 160)}}
+
+
+def recipes(draw, tries=500_000):
+    """Texts of 22 words with no shingle in the leading range, whose last two are among their three smallest."""
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(22 * 2_000)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    value, _ = word_hashes(raw, np.array([0, len(raw)]))
+    picks = np.random.default_rng(11).integers(0, len(words), (tries, 22))
+    hashes = chained([value[picks[:, k : 20 + k]] for k in range(3)])
+    rank = np.argsort(np.argsort(hashes, axis=1), axis=1)
+    fits = ~ngram_join._leading(hashes, Rule().range).any(axis=1) & (rank[:, 18:] < 3).all(axis=1)
+    return [[words[i] for i in row] for row in picks[fits]]
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_links_at_the_threshold_without_leading_shingles(spark, docs_of, broadcast):
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("klmnopqrst") for _ in range(6))
+    texts, bases = {}, recipes(draw)[:120]
+    assert len(bases) == 120
+    for k, base in enumerate(bases):
+        rows = [base[:20], base, base[-4:] + [word() for _ in range(15)], base[:20] + [word(), word()]]
+        texts.update({10 * k + i: " ".join(r) for i, r in enumerate(rows)})
+    with_conf = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for c in with_conf:
+            spark.conf.set(c, broadcast)
+        got = found(docs_of(list(texts.items())), Rule())
+    finally:
+        for c, v in with_conf.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert all(got[10 * k + 1][1] == 10 * k for k in range(120))
+    assert got == by_hand(texts, Rule())
+
+
+@pytest.mark.parametrize("rule", [Rule(), Rule(5, 80)])
+def test_short_random_texts(docs_of, rule):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdef") for _ in range(4))
+    texts = {}
+    for k in range(70):
+        base = [word() for _ in range(draw.randint(10, 60))]
+        for i in range(draw.randint(1, 5)):
+            copy = list(base)
+            for _ in range(draw.randint(0, 2)):
+                at = draw.choice([0, len(copy) - 1, draw.randrange(len(copy))])
+                copy[at : at + draw.randint(0, 1)] = [word()] * draw.randint(0, 1)
+            texts[10 * k + i] = " ".join(copy)
+    assert found(docs_of(list(texts.items())), rule) == by_hand(texts, rule)
+
+
+def test_passage_shared_by_many_makes_no_pairs_of_their_own(spark, docs_of):
+    """Only documents whose own words leave room in the prefix are compared at all."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(7))
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join(passage + [word() for _ in range(draw.randint(12, 30))])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " " + word()) for i in range(5)]
+    rule = Rule()
+    docs = docs_of(rows)
+    sets = ngram_join.whole_sets(docs, rule, docs.select(F.col("doc_id").alias("doc")))
+    assert ngram_join.bridges(sets.withColumn("label", F.col("doc")), rule).select("doc").distinct().count() <= 10
+    got = found(docs, rule)
+    assert got == by_hand(dict(rows), rule) and all(got[1000 + i][1] == i for i in range(5))
