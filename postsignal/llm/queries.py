@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, licenses, lm, mixing, ngram_join, pieces, secrets, sketches, toxicity, url_filter
+from . import chunk_dedup, licenses, lm, mixing, ngram_join, pieces, secrets, sketches, toxicity, url_filter, vector_codes
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(_read(spark, folder, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    made = vector_codes.codes(_read(spark, folder, "embeddings"))
+    return made.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
@@ -66,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_scores": op10_lm_scores,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": vector_codes.codes_sql(),
     "op5_exact_dedup": r"""
         with d as (
           select doc_id, length(coalesce(text, '')) as n_cp,
