@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, licenses, lm, mixing, ngram_join, pieces, secrets, sketches, toxicity, url_filter, vector_codes
+from . import chunk_dedup, licenses, lm, mixing, ngram_join, pieces, secrets, simhash, sketches, toxicity, url_filter, vector_codes
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.components(_read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_scores": op10_lm_scores,
     "op11_vector_codes": op11_vector_codes,
+    "op12_simhash": op12_simhash,
 }
 
 ORACLES: dict[str, str] = {
