@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, licenses, lm, mixing, ngram_join, pieces, secrets, simhash, sketches, toxicity, url_filter, vector_codes
+from . import chunk_dedup, licenses, lm, merkle, mixing, ngram_join, pieces, secrets, simhash, sketches, toxicity, url_filter, vector_codes
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components(_read(spark, folder, "documents"))
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.proofs(_read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
@@ -77,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
     "op11_vector_codes": op11_vector_codes,
     "op12_simhash": op12_simhash,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
     "op11_vector_codes": vector_codes.codes_sql(),
+    "op13_merkle": merkle.PROOFS_SQL,
     "op5_exact_dedup": r"""
         with d as (
           select doc_id, length(coalesce(text, '')) as n_cp,
