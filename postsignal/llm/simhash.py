@@ -92,16 +92,29 @@ def _mask(low: int, width: int) -> int:
     return ((1 << width) - 1) << low
 
 
+def _shift(bits: int) -> int:
+    """Bits that an entry has for the segment's own."""
+    return max(width for _, width in segments(bits))
+
+
 def variants(fp: Column, bits: int = BITS) -> Column:
-    """Index entries ``array<struct<segment, hole, rest>>``, 64 in all."""
-    made = [
-        F.struct(F.lit(s).alias("segment"), F.lit(low + i).alias("hole"), fp.bitwiseAND(F.lit(_signed(_mask(low, width) & ~(1 << low + i)))).alias("rest"))
-        for s, (low, width) in enumerate(segments(bits))
-        for i in range(width)
-    ]
+    """Index entries, 64 in all: numbers that hold which bit is left out and the segment's other bits."""
+    made = []
+    for low, width in segments(bits):
+        segment = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+        made += [segment.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << i))) + F.lit(low + i << _shift(bits)) for i in range(width)]
     return F.array(*made)
 
 
+def _by_segment(values: list[Column], bits: int) -> Column:
+    """That of ``values`` which belongs to the segment of ``entry``."""
+    hole, cuts = F.shiftright("entry", _shift(bits)), segments(bits)
+    out = F.when(hole < cuts[1][0], values[0]) if len(cuts) > 1 else values[0]
+    for k in range(1, len(cuts)):
+        out = out.when(hole < sum(cuts[k]), values[k])
+    return out
+
+
 def _near(a: Column, b: Column, bits: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= bits
 
@@ -112,50 +125,50 @@ def _first_meeting(a: Column, b: Column, bits: int) -> Column:
     Segments that differ in one bit meet only where that bit is left out; equal ones meet everywhere,
     first where their lowest bit is.
     """
-    apart = a.bitwiseXOR(b)
-    meets = [apart.bitwiseAND(F.lit(_signed(_mask(low, width)))) for low, width in segments(bits)]
-    first = F.coalesce(*[F.when(F.bit_count(m) <= 1, F.lit(s)) for s, m in enumerate(meets)])
-    lowest = F.element_at(F.array(*[F.lit(low) for low, _ in segments(bits)]), F.col("segment") + 1)
-    own = F.element_at(F.array(*meets), F.col("segment") + 1)
-    return (F.col("segment") == first) & ((own != 0) | (F.col("hole") == lowest))
+    apart, cuts = a.bitwiseXOR(b), segments(bits)
+    meets = [apart.bitwiseAND(F.lit(_signed(_mask(low, width)))) for low, width in cuts]
+    hole = F.shiftright("entry", _shift(bits))
+    first = F.coalesce(*[F.when(F.bit_count(m) <= 1, F.lit(low)) for m, (low, _) in zip(meets, cuts)])
+    here = _by_segment([F.lit(low) for low, _ in cuts], bits)
+    return (here == first) & ((_by_segment(meets, bits) != 0) | (hole == here))
 
 
 def _pieces(fp: Column, bits: int) -> Column:
     """``(piece, value)`` of the bits outside the entry's segment; a linked pair has one in common."""
-    by_segment = []
+    made = []
     for low, width in segments(bits):
         others = [b for b in range(64) if not low <= b < low + width]
         cuts = [len(others) * i // (bits + 1) for i in range(bits + 2)]
         masks = [sum(1 << b for b in others[x:y]) for x, y in zip(cuts, cuts[1:])]
-        by_segment.append(F.array(*[F.struct(F.lit(i).alias("piece"), fp.bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)]))
-    return F.element_at(F.array(*by_segment), F.col("segment") + 1)
+        made.append(F.array(*[F.struct(F.lit(i).alias("piece"), fp.bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)]))
+    return _by_segment(made, bits)
 
 
 def links(classes: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
     """``(a, b)``: enough links between the fingerprints of ``classes (fp)`` for their components.
 
-    Every two classes that link are in one component of these links, and all of these do link.
+    Every two classes that link are in one component of these links, and all of these do link. Joins
+    test the whole fingerprints, so classes that merely share a bucket never become rows.
     """
-    bucket = ["segment", "hole", "rest"]
-    indexed = classes.select("fp", F.inline(variants(F.col("fp"), bits)))
-    hubs = (
-        indexed.groupBy(*bucket)
-        .agg(F.count("*").alias("members"), *[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"hub_{k}") for k in range(2)])
-        .filter("members > 1")
+    fp = F.col("fp")
+    indexed = classes.select("fp", F.explode(variants(fp, bits)).alias("entry"))
+    buckets = written(
+        indexed.groupBy("entry").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("members")).filter("low < high")
     )
-    met = written(indexed.join(hubs, bucket))
-    tried = met.select("fp", F.explode(F.array_distinct(F.array("hub_0", "hub_1"))).alias("hub")).filter("fp <> hub")
-    near = tried.filter(_near(F.col("fp"), F.col("hub"), bits)).select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
-    found = written(near.distinct())
+    hub = buckets.select(F.col("entry").alias("of"), F.explode(F.array("low", "high")).alias("hub"))
+    near = indexed.join(hub, (F.col("entry") == F.col("of")) & (fp != F.col("hub")) & _near(fp, F.col("hub"), bits))
+    found = written(near.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
     labels = connected(found)
-    named = met.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     # A bucket of two is settled: its one pair was tried with a hub.
-    several = named.filter("members > 2")
-    mixed = several.groupBy(*bucket).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select(*bucket)
+    several = buckets.filter("members > 2").select(F.col("entry").alias("of"), (F.col("members") > crowded).alias("cut"))
+    named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
     whole = F.array(F.struct(F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("value")))
-    cut = F.when(F.col("members") > crowded, _pieces(F.col("fp"), bits)).otherwise(whole)
-    open_ = written(several.join(mixed, bucket).select(*bucket, "fp", "label", F.inline(cut)))
-    key = [*bucket, "piece", "value"]
+    open_ = (
+        named.select("fp", "label", F.explode(variants(fp, bits)).alias("entry"))
+        .join(several, F.col("entry") == F.col("of"))
+        .select("entry", "fp", "label", F.inline(F.when(F.col("cut"), _pieces(fp, bits)).otherwise(whole)))
+    )
+    key = ["entry", "piece", "value"]
     left = open_.select(*key, F.col("fp").alias("a"), F.col("label").alias("x"))
     right = open_.select(*[F.col(c).alias(f"{c}_b") for c in key], F.col("fp").alias("b"), F.col("label").alias("y"))
     same = [F.col(c) == F.col(f"{c}_b") for c in key]
