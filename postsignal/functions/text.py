@@ -29,9 +29,10 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 ENCODER_PATTERN = r"['\p{L}\p{N}_-]+"
 SEGMENT_PATTERN = r"[\p{L}\p{N}_]+|\S"
 HAN_RUN_PATTERN = r"(\p{IsHan}+)"
-# The white space that stripping removes, and a bound below which no character is Han.
+HAN_LETTER = r"[\p{IsHan}&&[\p{L}\p{N}]]"
+# The white space that stripping removes, and characters among which all Han ones are.
 BLANKS = " \t\n\x0b\f\r"
-BEFORE_HAN = "\u2e80"
+MAY_BE_HAN = r"[\x{2E80}-\x{10FFFF}]"
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,30 +84,26 @@ def blank_count(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
-def segments(text: Column) -> Column:
-    """Words and single punctuation marks; a run of Han characters gives its overlapping pairs.
+def paired(text: Column) -> Column:
+    """``text`` with every run of two or more Han characters as its overlapping pairs, set apart by blanks.
 
-    Han text has no blanks between words, and pairs need no dictionary.
+    Han text has no blanks between words, and pairs need no dictionary. Only a text with a character
+    high enough to be Han is looked at, and it is rewritten by patterns, not piece by piece.
     """
-    spaced = F.regexp_replace(text, HAN_RUN_PATTERN, " $1 ")
-    pieces = _all_matches(spaced, SEGMENT_PATTERN)
+    apart = F.regexp_replace(text, HAN_RUN_PATTERN, " $1 ")
+    # A character and the next one; the last one of a run has been in a pair already.
+    pairs = F.regexp_replace(apart, f"({HAN_LETTER})(?=({HAN_LETTER}))|(?<={HAN_LETTER}){HAN_LETTER}", "$1$2 ")
+    return F.when(text.rlike(MAY_BE_HAN), pairs).otherwise(text)
 
-    def pairs(piece: Column) -> Column:
-        han = (piece >= BEFORE_HAN) & piece.rlike(r"^\p{IsHan}{2,}$")
-        return F.when(
-            han,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.char_length(piece) - 1, F.lit(1))),
-                lambda i: F.substring(piece, i, F.lit(2)),
-            ),
-        ).otherwise(F.array(piece))
 
-    return F.flatten(F.transform(pieces, pairs))
+def segments(text: Column) -> Column:
+    """Words and single punctuation marks; a run of Han characters gives its overlapping pairs."""
+    return _all_matches(paired(text), SEGMENT_PATTERN)
 
 
 def segmented(text: Column) -> Column:
-    """``segments`` joined by one blank."""
-    return F.array_join(segments(text), " ")
+    """``segments`` joined by one blank, made by one replacement."""
+    return F.btrim(F.regexp_replace(paired(text), rf"({SEGMENT_PATTERN})\s*", "$1 "), F.lit(BLANKS))
 
 
 def term_frequencies(tokens: Column) -> Column:

@@ -10,8 +10,11 @@ from ..session import written
 
 
 def default_tokens() -> Column:
-    """Words of the segmented text, so a run of Han characters gives its pairs and not one term."""
-    return text.words(text.segmented(F.col("content")))
+    """Words of the segmented text, so a run of Han characters gives its pairs and not one term.
+
+    Words are the same whether punctuation is set apart or not, so only Han runs are.
+    """
+    return text.words(text.paired(F.col("content")))
 
 
 def term_counts(posts: DataFrame, tokens: Column | None = None) -> DataFrame:

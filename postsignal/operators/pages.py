@@ -17,6 +17,7 @@ class Layout:
     title: str
     body_start: str
     footer: str
+    gate_word: str = "over18-notice"
     gate: str = r'<[^>]*\bclass="(?:[^"]*\s)?over18-notice[\s"]'
     meta: str = r'class="article-meta-value"[^>]*>([^<]*)<'
     author_at: int = 0
@@ -42,8 +43,12 @@ ARTICLE = Layout(title=r"<title>([^<]*)</title>", body_start="<article", footer=
 
 
 def without_gates(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
-    """Pages without an element of the age question's class; the word in a text is no such element."""
-    return pages.filter(~F.col("html").rlike(layout.gate))
+    """Pages without an element of the age question's class; the word in a text is no such element.
+
+    The pattern is tried only on pages that have the class's name at all.
+    """
+    page = F.col("html")
+    return pages.filter(~(page.contains(layout.gate_word) & page.rlike(layout.gate)))
 
 
 def _kept_records(pages: DataFrame, record: Column, whole, shown=None) -> DataFrame:
