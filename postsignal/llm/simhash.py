@@ -9,11 +9,12 @@ with that bit left out. Segments that differ by at most one bit share a variant,
 ``(segment, bit left out, other bits)`` meets every linked pair, and the whole fingerprints decide.
 
 * Equal fingerprints are one class, kept once, whatever the number of its documents.
-* Pairs are tried in two rounds. First each class is tried against its bucket's hubs, which joins
-  groups of near copies in a few steps. Then pairs of classes still in different components are tried,
-  so a group never unfolds into all its pairs and no link between components is lost.
-* In the second round, a crowded bucket is cut further, without loss: the bits outside the segment
-  are cut into ``bits + 1`` pieces, of which a linked pair has one in common.
+* Pairs are tried in two rounds. First each class is tried against the largest class with which it has
+  a whole segment in common, which joins groups of near copies around what they were made from. Then
+  the index is joined with itself, and pairs of classes that link and are still in different components
+  become rows, so a group does not unfold into all its pairs and no link between components is lost.
+* With so many classes that buckets would be crowded, they are cut further, without loss: the bits
+  outside the segment are cut into ``bits + 1`` pieces, of which a linked pair has one in common.
 
 Null or empty text, or only blanks: fingerprint zero, linked like any other. Fewer words than a shingle
 has: their sequence is the one hashed. Very long texts: read whole, one at a time. Ties (a bit in just
@@ -36,8 +37,8 @@ from ..session import written
 from .graph import connected
 
 WORDS, BITS, SEED = 4, 4, 42
-#: Buckets with more classes than this are cut further in the second round.
-CROWDED = 64
+#: With more classes than this for each value a segment can have, buckets are cut further.
+CROWDED = 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -144,33 +145,33 @@ def _pieces(fp: Column, bits: int) -> Column:
     return _by_segment(made, bits)
 
 
+def _exact(fp: Column, bits: int) -> Column:
+    """The segments themselves, as ``(number, value)``."""
+    cuts = enumerate(segments(bits))
+    return F.array(*[F.struct(F.lit(s).alias("segment"), F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for s, (low, width) in cuts])
+
+
 def links(classes: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
-    """``(a, b)``: enough links between the fingerprints of ``classes (fp)`` for their components.
+    """``(a, b)``: enough links between the fingerprints of ``classes (fp, rows)`` for their components.
 
     Every two classes that link are in one component of these links, and all of these do link. Joins
     test the whole fingerprints, so classes that merely share a bucket never become rows.
     """
-    fp = F.col("fp")
-    indexed = classes.select("fp", F.explode(variants(fp, bits)).alias("entry"))
-    buckets = written(
-        indexed.groupBy("entry").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("members")).filter("low < high")
-    )
-    hub = buckets.select(F.col("entry").alias("of"), F.explode(F.array("low", "high")).alias("hub"))
-    near = indexed.join(hub, (F.col("entry") == F.col("of")) & (fp != F.col("hub")) & _near(fp, F.col("hub"), bits))
+    fp, key = F.col("fp"), ["segment", "value"]
+    equal = classes.select("fp", "rows", F.inline(_exact(fp, bits)))
+    # The class of most rows is likely what its neighbours were made from.
+    hubs = equal.groupBy(*key).agg(F.max_by("fp", F.struct("rows", "fp")).alias("hub"))
+    near = equal.join(hubs, key).filter((fp != F.col("hub")) & _near(fp, F.col("hub"), bits))
     found = written(near.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
     labels = connected(found)
-    # A bucket of two is settled: its one pair was tried with a hub.
-    several = buckets.filter("members > 2").select(F.col("entry").alias("of"), (F.col("members") > crowded).alias("cut"))
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-    whole = F.array(F.struct(F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("value")))
-    open_ = (
-        named.select("fp", "label", F.explode(variants(fp, bits)).alias("entry"))
-        .join(several, F.col("entry") == F.col("of"))
-        .select("entry", "fp", "label", F.inline(F.when(F.col("cut"), _pieces(fp, bits)).otherwise(whole)))
-    )
-    key = ["entry", "piece", "value"]
-    left = open_.select(*key, F.col("fp").alias("a"), F.col("label").alias("x"))
-    right = open_.select(*[F.col(c).alias(f"{c}_b") for c in key], F.col("fp").alias("b"), F.col("label").alias("y"))
+    indexed = named.select("fp", "label", F.explode(variants(fp, bits)).alias("entry"))
+    key = ["entry"]
+    if classes.count() > crowded << (_shift(bits) - 1):
+        indexed = indexed.select("entry", "fp", "label", F.inline(_pieces(fp, bits)))
+        key = ["entry", "piece", "value"]
+    left = indexed.select(*key, F.col("fp").alias("a"), F.col("label").alias("x"))
+    right = indexed.select(*[F.col(c).alias(f"{c}_b") for c in key], F.col("fp").alias("b"), F.col("label").alias("y"))
     same = [F.col(c) == F.col(f"{c}_b") for c in key]
     a, b = F.col("a"), F.col("b")
     wanted = (a < b) & (F.col("x") != F.col("y")) & _near(a, b, bits) & _first_meeting(a, b, bits)
@@ -181,8 +182,8 @@ def links(classes: DataFrame, bits: int = BITS, crowded: int = CROWDED) -> DataF
 def components(docs: DataFrame, words: int = WORDS, bits: int = BITS, crowded: int = CROWDED) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``."""
     held = written(fingerprints(docs, words))
-    classes = written(held.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = links(classes.select("fp"), bits, crowded)
+    classes = written(held.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    found = links(classes.select("fp", "rows"), bits, crowded)
     # An id that stands for several texts links their fingerprints.
     twice = held.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z")
     if not twice.isEmpty():
