@@ -13,6 +13,7 @@ from ..operators import (
     evaluate,
     filters,
     keywords,
+    lexicon,
     pages,
     regress,
     rolling,
@@ -665,6 +666,39 @@ def han_terms(spark: SparkSession, folder: str) -> DataFrame:
     return keywords.term_counts(tables.texts(spark, folder).withColumn("content", shown))
 
 
+@query
+def han_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of all strings of up to five neighbouring Han characters."""
+    return lexicon.gram_counts(tables.han_texts(spark, folder))
+
+
+@query
+def han_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that stand together and stand free, found by those counts."""
+    words = lexicon.dictionary(written(lexicon.gram_counts(tables.han_texts(spark, folder))))
+    return _rounded(words, "cohesion", "left_entropy", "right_entropy")
+
+
+@query
+def han_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct run of Han characters as its most probable row of words."""
+    docs = tables.han_texts(spark, folder)
+    counts = written(lexicon.gram_counts(docs))
+    weights = written(lexicon.word_weights(counts, written(lexicon.dictionary(counts))))
+    distinct = docs.select(F.explode(lexicon.runs(F.col("content"))).alias("run")).distinct()
+    cut = lexicon.cut_runs(distinct, weights)
+    return cut.select("run", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query
+def han_keyword_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Term counts of texts whose Han runs are cut by the learnt dictionary."""
+    docs = tables.han_texts(spark, folder)
+    counts = written(lexicon.gram_counts(docs))
+    weights = written(lexicon.word_weights(counts, written(lexicon.dictionary(counts))))
+    return keywords.term_counts(lexicon.segmented(docs, weights), text.words(F.col("content")))
+
+
 @query
 def news_trend(spark: SparkSession, folder: str) -> DataFrame:
     """The whole chain: news, one row per text, keywords of segmented text, scores from their votes."""

@@ -234,6 +234,64 @@ tokenised as (
          else [x] end)), ' ')), '[\p{L}\p{N}_]{2,}') as words
   from pieces)"""
 
+# Strings of Han characters, and words by cohesion and branching entropy.
+_GRAMS = r"""
+han as (
+  select post_id, translate(lower(content), 'bcdfghjklmnpqrstvwxyzaeiou ', '台北市政府今天宣布例人口大小中國山水火木金') as content
+  from posts),
+han_runs as (
+  select post_id, unnest(regexp_extract_all(content, '\p{Han}+')) as run from han),
+grams as (
+  select gram, cast(n as bigint) as n, count(*) as count
+  from (select n, unnest(list_transform(range(1, length(run) - n + 2), lambda i: substring(run, i, n))) as gram
+        from han_runs, (select unnest([1, 2, 3, 4, 5]) as n))
+  group by gram, n)"""
+
+_WORDS_LEARNT = """
+longer_left as (
+  select substring(gram, 2) as gram, sum(count) as total, sum(count * ln(count)) as logs from grams where n > 2 group by 1),
+longer_right as (
+  select left(gram, n - 1) as gram, sum(count) as total, sum(count * ln(count)) as logs from grams where n > 2 group by 1),
+free as (
+  select g.gram, g.n, g.count,
+         ln(g.count) - (coalesce(l.logs, 0) + case when g.count > coalesce(l.total, 0)
+           then (g.count - coalesce(l.total, 0)) * ln(g.count - coalesce(l.total, 0)) else 0 end) / g.count as left_entropy,
+         ln(g.count) - (coalesce(r.logs, 0) + case when g.count > coalesce(r.total, 0)
+           then (g.count - coalesce(r.total, 0)) * ln(g.count - coalesce(r.total, 0)) else 0 end) / g.count as right_entropy
+  from grams g left join longer_left l using (gram) left join longer_right r using (gram)
+  where g.n between 2 and 4 and g.count >= 5),
+learnt as (
+  select f.gram, f.n, f.count,
+         min(ln(f.count) + ln((select sum(count) from grams where n = 1)) - ln(h.count) - ln(t.count)) as cohesion,
+         f.left_entropy, f.right_entropy
+  from free f, (select unnest([1, 2, 3]) as cut), grams h, grams t
+  where cut < f.n and h.gram = left(f.gram, cut) and t.gram = substring(f.gram, cut + 1) and least(left_entropy, right_entropy) >= 0.8
+  group by all having cohesion >= 1.0)"""
+
+_CUT = """
+known as (select gram, count from grams where n = 1 union all select gram, count from learnt),
+weights as (select gram, cast(round(ln(count / (select sum(count) from known)) * 1000000) as bigint) as w from known),
+distinct_runs as (select distinct run from han_runs),
+walk as (
+  select run, 0 as place, [0::bigint] as best, []::int[] as lens from distinct_runs
+  union all
+  select run, place + 1, list_append(best, top.w), list_append(lens, top.n)
+  from (
+    select k.run, k.place, k.best, k.lens,
+           list_max(list_filter([
+             {'w': best[place + 1] + a.w, 'n': 1}, {'w': best[place] + b.w, 'n': 2},
+             {'w': best[place - 1] + c.w, 'n': 3}, {'w': best[place - 2] + d.w, 'n': 4}], lambda x: x.w is not null)) as top
+    from walk k left join weights a on a.gram = substring(run, place + 1, 1)
+    left join weights b on place >= 1 and b.gram = substring(run, greatest(place, 1), 2)
+    left join weights c on place >= 2 and c.gram = substring(run, greatest(place - 1, 1), 3)
+    left join weights d on place >= 3 and d.gram = substring(run, greatest(place - 2, 1), 4)
+    where place < length(run))),
+back as (
+  select run, lens, place as spot, []::varchar[] as words from walk where place = length(run)
+  union all
+  select run, lens, spot - lens[spot], list_prepend(substring(run, spot - lens[spot] + 1, lens[spot]), words) from back where spot > 0),
+cut as (select run, words from back where spot = 0)"""
+
 _SUMMARY = " union all ".join(
     f"""select '{c}' as measure, min({c}) as minimum,
       round(quantile_cont({c}, 0.25), 6) as q1, round(quantile_cont({c}, 0.5), 6) as median,
@@ -684,6 +742,35 @@ ORACLES: dict[str, str] = {
         from (select batch, sqrt(avg(e)) as root from errors group by batch)""",
     ),
     "han_terms": _sql(*_BASE, _HAN, _COUNTS, select="select post_id, term, tf from counts"),
+    "han_ngrams": _sql(*_BASE, _GRAMS, select="select gram, n, count from grams"),
+    "han_dictionary": _sql(
+        *_BASE,
+        _GRAMS,
+        _WORDS_LEARNT,
+        select="""
+        select gram, n, count, round(cohesion, 6) as cohesion, round(left_entropy, 6) as left_entropy,
+               round(right_entropy, 6) as right_entropy from learnt""",
+    ),
+    "han_words": _sql(
+        *_BASE,
+        _GRAMS,
+        _WORDS_LEARNT,
+        _CUT,
+        select="select run, cast(len(words) as bigint) as n_words, array_to_string(words, ' ') as words from cut",
+    ).replace("with ", "with recursive ", 1),
+    "han_keyword_terms": _sql(
+        *_BASE,
+        _GRAMS,
+        _WORDS_LEARNT,
+        _CUT,
+        r"""
+        terms as (
+          select post_id, unnest(words) as term from han_runs join cut using (run)
+          union all
+          select post_id, unnest(regexp_extract_all(lower(regexp_replace(content, '\p{Han}+', ' ', 'g')), '[\p{L}\p{N}_]{2,}'))
+          from han)""",
+        select="select post_id, term, count(*) as tf from terms where length(term) > 1 group by post_id, term",
+    ).replace("with ", "with recursive ", 1),
     "news_trend": _sql(
         _COMMENTS,
         _TALLY,

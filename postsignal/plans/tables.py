@@ -80,6 +80,16 @@ def keyword_topics(kept: DataFrame, n_topics: int = 20) -> DataFrame:
     return per_topic.select("post_id", "topic", (F.col("n") / total).alias("p"))
 
 
+# Letters shown as Han characters; vowels and blanks, which have none, are left out.
+CONSONANTS, HAN_SHOWN, LEFT_OUT = "bcdfghjklmnpqrstvwxyz", "台北市政府今天宣布例人口大小中國山水火木金", "aeiou "
+
+
+def han_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``texts`` whose words are strings of Han characters without blanks between them."""
+    shown = F.translate(F.lower("content"), CONSONANTS + LEFT_OUT, HAN_SHOWN)
+    return texts(spark, folder).withColumn("content", shown)
+
+
 def _escaped(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
