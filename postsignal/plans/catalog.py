@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, html, text, urls, votes
 from ..operators import (
+    convnet,
     encode,
     evaluate,
     filters,
@@ -592,8 +593,16 @@ def rmse_by_batch(spark: SparkSession, folder: str) -> DataFrame:
 # Regression
 
 
+def _split_meta(spark: SparkSession, folder: str) -> DataFrame:
+    """Label, scores, tag and split of every model row, without its text."""
+    meta = written(_model_rows(spark, folder).drop("content"))
+    return written(split.split_rows(meta))
+
+
 def _regression_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return written(split.split_rows(written(regress.model_input(_model_rows(spark, folder)))))
+    """Model rows with their hashed word sequences; texts and tokens are stored nowhere."""
+    texts = tables.texts(spark, folder).select("post_id", "content").na.drop()
+    return written(regress.hashed(regress.model_input(texts.join(_split_meta(spark, folder), "post_id"))))
 
 
 @query
@@ -649,6 +658,20 @@ def regression_errors(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(regress.errors(predicted), "rmse_batches", "rmse", "rmse_mean")
 
 
+@query
+def convnet_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of the convolutional network on words, scores and tag, whole and by batch, per split."""
+    meta = regress.FEATURE_SETS["text+scores+tag"]
+    to = convnet.Settings()
+    texts = tables.texts(spark, folder).select("post_id", "content").na.drop()
+    given = regress.model_input(texts.join(_split_meta(spark, folder), "post_id"))
+    words = convnet.word_places(F.col("tokens"), to.places).alias("words")
+    rows = written(given.select("post_id", "split", "rank", "label", *meta, words))
+    model = convnet.fit(rows.filter("split = 'train'"), meta, to)
+    found = written(convnet.predicted(rows, model, meta, to).withColumn("features", F.lit("text+scores+tag")))
+    return _rounded(regress.errors(found), "rmse_batches", "rmse", "rmse_mean")
+
+
 @query
 def batch_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Batch and whole errors of stored predictions: each post gets its previous rank's label."""

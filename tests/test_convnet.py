@@ -1,0 +1,88 @@
+"""The network's gradient against finite differences, and what it learns from texts."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from postsignal.operators import convnet
+from postsignal.operators.convnet import Settings
+from postsignal.session import written
+
+SMALL = Settings(places=30, size=3, filters=4, seed=3)
+
+
+def sample(rows=12, meta=2, seed=1):
+    draw = np.random.default_rng(seed)
+    lists = [draw.integers(1, 30, draw.integers(0, 9)).tolist() for _ in range(rows)]
+    return pa.array(lists, pa.list_(pa.int32())), draw.normal(size=(rows, meta)), draw.normal(size=rows)
+
+
+def test_gradient_equals_finite_differences():
+    lists, meta, label = sample()
+    flat = convnet.first(SMALL, 2) + np.random.default_rng(2).normal(size=len(convnet.first(SMALL, 2))) * 0.1
+    convnet.parts(flat, SMALL, 2)["words"][0] = 0.0
+    got, _ = convnet.gradient(flat, lists, meta, label, SMALL)
+    loss = lambda w: 0.5 * float(((convnet.forward(w, lists, meta, SMALL)[0] - label) ** 2).sum())
+    for i in range(SMALL.size, len(flat)):  # the empty word's vector is fixed
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        assert got[i] == pytest.approx((loss(flat + step) - loss(flat - step)) / 2e-6, abs=1e-5)
+    assert (got[: SMALL.size] == 0).all()
+
+
+def test_forward_equals_plain_loops():
+    lists, meta, _ = sample()
+    flat = convnet.first(SMALL, 2)
+    weights = convnet.parts(flat, SMALL, 2)
+    got, _ = convnet.forward(flat, lists, meta, SMALL)
+    for row, words in enumerate(lists.to_pylist()):
+        words = words + [0] * max(0, 4 - len(words))
+        pooled = []
+        for w in (2, 3, 4):
+            responses = [sum(weights["words"][words[i + j]] @ weights[f"filter_{w}"][j] for j in range(w)) for i in range(len(words) - w + 1)]
+            pooled += list(np.maximum(np.max(responses, axis=0) + weights[f"bias_{w}"], 0))
+        assert got[row] == pytest.approx(float(np.array([*pooled, *meta[row], 1.0]) @ weights["out"]))
+
+
+def corpus(spark, n=400):
+    draw = random.Random(5)
+    rows = []
+    for i in range(n):
+        words = [f"w{draw.randrange(40)}" for _ in range(draw.randint(0, 30))]
+        hot = draw.random() < 0.5
+        if hot:
+            at = draw.randint(0, len(words))
+            words[at:at] = ["bad", "news"]
+        bonus = draw.random()
+        rows.append((i, "train" if i % 4 else "valid", i, 10.0 * hot + 5.0 * bonus, bonus, words if i % 50 else None))
+    df = spark.createDataFrame(rows, "post_id long, split string, rank int, label double, bonus double, tokens array<string>")
+    return written(df.withColumn("words", convnet.word_places(F.col("tokens"), 512)).drop("tokens").repartition(3))
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_learns_a_pair_of_words_and_a_meta_feature(spark, batches):
+    to = Settings(places=512, size=8, filters=8, steps=25, rate=0.05, penalty=0.001, batches=batches)
+    rows = corpus(spark)
+    model = convnet.fit(rows.filter("split = 'train'"), ["bonus"], to)
+    found = {r["post_id"]: r for r in convnet.predicted(rows, model, ["bonus"], to).collect()}
+    assert len(found) == 400
+    valid = [r for r in found.values() if r["split"] == "valid"]
+    error = np.sqrt(np.mean([(r["label"] - r["prediction"]) ** 2 for r in valid]))
+    spread = np.std([r["label"] for r in valid])
+    assert error < 0.5 * spread and model.losses[-1] < 0.3 * model.losses[0]
+
+
+def test_sums_do_not_depend_on_the_tasks(spark):
+    to = Settings(places=512, size=4, filters=4, steps=3)
+    rows = corpus(spark, 60)
+    one, many = (convnet.fit(rows.repartition(n), ["bonus"], to) for n in (1, 5))
+    assert one.flat == pytest.approx(many.flat, abs=1e-7)
+
+
+def test_no_training_rows(spark):
+    rows = corpus(spark, 8)
+    model = convnet.fit(rows.filter("false"), [], Settings(places=512, steps=1))
+    assert len(convnet.predicted(rows, model, [], Settings(places=512, steps=1)).collect()) == 8
