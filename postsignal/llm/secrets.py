@@ -42,17 +42,19 @@ ASSIGN = re.compile(
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+RUN = re.compile(r"[A-Za-z0-9_-]+")
 # Up to its own END line; a further BEGIN ends the search, so no stray one swallows the block after it.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----BEGIN ).)*?)-----END \1-----", re.DOTALL)
 # Line breaks as JSON and .env files write them; headers of an encrypted body.
-BREAK = re.compile(r"\\+[nr]")
+BREAK = re.compile(r"(?<!\\)\\+[nr]")
 SEALED = re.compile(r"Proc-Type: *4 *, *ENCRYPTED|DEK-Info: *[A-Za-z0-9-]+(?: *, *[0-9A-Fa-f]+)?")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEXES = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 # Names of key types in length-prefixed encodings.
 PREFIXED = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 OPENSSH = b"openssh-key-v1\x00"
+# How the identifiers of password-based encryption begin (1.2.840.113549.1.5 and .1.12.1).
+SEALING = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def from_base64(run: str) -> bytes | None:
@@ -105,6 +107,11 @@ def fields(data: bytes) -> list[bytes] | None:
     return out
 
 
+def _seals(algorithm: list) -> bool:
+    """Whether an algorithm identifier is one of encryption; a digest's has the same form."""
+    return bool(algorithm) and algorithm[0][0] == 6 and algorithm[0][1].startswith(SEALING)
+
+
 def is_key(data: bytes | None) -> bool:
     """Whether ``data`` is, to its last byte, an encoded key."""
     if not data:
@@ -126,7 +133,7 @@ def is_key(data: bytes | None) -> bool:
         plain = tags[:2] == [2, 2] and len(tags) >= 6 and set(tags) == {2}
         curve = tags[:2] == [2, 4]
         wrapped = tags[:3] == [2, 0x30, 4]
-        sealed = tags == [0x30, 4]
+        sealed = tags == [0x30, 4] and _seals(items[0][1][0][1])
         return plain or curve or wrapped or sealed
     parts = fields(data) if data[:2] == b"\x00\x00" else None
     return bool(parts) and len(parts) >= 2 and parts[0] in PREFIXED
@@ -141,9 +148,32 @@ def _object(part: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def is_token(match: re.Match) -> bool:
-    header = _object(match[1])
-    return header is not None and isinstance(header.get("alg"), str) and _object(match[2]) is not None
+def is_token(header: str, payload: str) -> bool:
+    found = _object(header)
+    return found is not None and isinstance(found.get("alg"), str) and _object(payload) is not None
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """``(start, end)`` of signed tokens: three runs with a dot between, the first from its ``eyJ`` on.
+
+    Every run is looked at once, so a text without dots takes no longer than any other.
+    """
+    out, held = [], []
+    for run in RUN.finditer(text):
+        a, b = run.span()
+        if held and (held[-1][1] + 1 != a or text[a - 1] != "."):
+            held = []
+        held.append((a, b))
+        if len(held) == 3:
+            first, second, last = held
+            start = text.find("eyJ", *first)
+            if 0 <= start < first[1] - 3:
+                if is_token(text[start : first[1]], text[slice(*second)]):
+                    out.append((start, last[1]))
+                held = []
+            else:
+                del held[0]
+    return out
 
 
 def is_block(raw: str) -> bool:
@@ -171,7 +201,7 @@ def spans(text: str) -> list[tuple[int, str, int]]:
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     if "eyJ" in text:
-        out += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token(m)]
+        out += [(a, "jwt", b) for a, b in tokens(text)]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
             if is_block(m[2]):
