@@ -1,27 +1,30 @@
 """URL verdicts from host rules and, where none fits, from two character language models.
 
-URLs that a rule accepts or rejects train one variable-order Markov model each. A model keeps every
-character sequence of up to ``order + 1`` that makes up at least one in ``bound`` of the sequences of
-its length, so at most ``bound`` per length, however many URLs there are; what it leaves out is
-predicted from the shorter context (absolute discounting). A URL is blocked if its log-likelihood
-under the rejected model exceeds that under the accepted one, per character, by more than a
-threshold that is calibrated on labelled URLs left out of training.
+URLs that a rule accepts or rejects train one variable-order Markov model each. A model is a table of
+all character sequences of up to ``order + 1`` with their counts, whatever their number. A character's
+probability takes a discount off its count after the longest context and gives what that leaves to the
+next shorter one, down to even odds. A URL is blocked if its log-likelihood under the rejected model
+exceeds that under the accepted one, per character, by more than a threshold that is calibrated on
+labelled URLs left out of training.
+
+Lines (host and path) are scored once each. Probabilities are worked out for the distinct sequences that
+occur in any line, one join per length, and a line's are added up in one grouped sum.
 
 Null URL or one without ``://``: empty host and path, no rule, nothing for the models to compare (the
-difference is null), so ``allow``. Path without a leading slash: no rule fits. Ties at the threshold:
-``allow``. A class without training URLs: the threshold is infinite, so ``allow``. Repeated rows: all
-returned, and all count in training. Empty table: no rows. Other columns are left out.
+difference is null), so ``allow``. Path without a leading slash: no rule fits. Very long URLs: scored
+whole. Ties at the threshold: ``allow``. A class without training URLs: the threshold is infinite, so
+``allow``. Repeated rows: all returned, and all count in training. Empty table: no rows. Other columns
+are left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import written
 
 # Fixed values: (verdict, host, path).
 RULES = [
@@ -31,7 +34,8 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ORDER, BOUND, DISCOUNT, SYMBOLS = 4, 20_000, 0.5, 256
+ORDER, DISCOUNT, SYMBOLS = 4, 0.5, 256
+CLASSES = ["allow", "block"]
 BEGIN, END = "\x02", "\x03"
 
 
@@ -59,92 +63,58 @@ def _line() -> Column:
     return F.concat("host", "path")
 
 
-def _cut(at: Column, size: int) -> Column:
-    return F.transform(at, lambda i: F.substring("line", i, size))
-
-
-def sequences(labelled: DataFrame, order: int = ORDER, bound: int = BOUND) -> DataFrame:
-    """``(ruled, seq, n)``: frequent character sequences of each class, counted over all its URLs."""
-    line = F.concat(F.repeat(F.lit(BEGIN), order), _line(), F.lit(END))
-    every = labelled.select("ruled", line.alias("line"))
-    counted = None
-    for size in range(1, order + 2):
-        # The last character of a sequence is one that is predicted, so none ends in BEGIN.
-        at = F.sequence(F.lit(order + 2 - size), F.length("line") - size + 1)
-        part = every.select("ruled", F.explode(_cut(at, size)).alias("seq")).groupBy("ruled", "seq").count()
-        counted = part if counted is None else counted.unionByName(part)
-    totals = every.groupBy("ruled").agg(F.sum(F.length("line") - order).alias("total"))
-    return counted.join(F.broadcast(totals), "ruled").filter(F.col("count") * bound >= F.col("total")).select(
-        "ruled", "seq", F.col("count").alias("n")
+def windows(line: Column, order: int = ORDER) -> Column:
+    """For each character and the end, the character with the ``order`` before it."""
+    padded = F.concat(F.repeat(F.lit(BEGIN), order), line, F.lit(END))
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order + 1}}}))"), F.lit(1))
+
+
+def sequences(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(seq, allow, block)``: how often each window occurs in either class, over all its URLs."""
+    every = labelled.select("ruled", F.explode(windows(_line(), order)).alias("seq"))
+    return every.groupBy("seq").agg(*[F.count_if(F.col("ruled") == c).alias(c) for c in CLASSES])
+
+
+def probabilities(counts: DataFrame, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(seq, allow, block)``: probability of the last character after the others, for ``asked (seq)``.
+
+    ``counts`` and ``asked`` are read for every length and should be stored tables.
+    """
+    lower = None
+    for k in range(order + 1):
+        level = counts.groupBy(F.right("seq", F.lit(k + 1)).alias("seq")).agg(*[F.sum(c).alias(f"n_{c}") for c in CLASSES])
+        sums = [F.sum(f"n_{c}").alias(f"all_{c}") for c in CLASSES] + [F.count_if(F.col(f"n_{c}") > 0).alias(f"kinds_{c}") for c in CLASSES]
+        contexts = level.groupBy(F.left("seq", F.lit(k)).alias("context")).agg(*sums)
+        wanted = asked.select(F.right("seq", F.lit(k + 1)).alias("seq")).distinct()
+        made = wanted.withColumn("context", F.left("seq", F.lit(k))).join(level, "seq", "left").join(contexts, "context", "left")
+        if lower is None:
+            made = made.withColumns({f"lower_{c}": F.lit(1.0 / SYMBOLS) for c in CLASSES})
+        else:
+            shorter = lower.withColumnsRenamed({"seq": "end", **{c: f"lower_{c}" for c in CLASSES}})
+            made = made.withColumn("end", F.right("seq", F.lit(k))).join(shorter, "end")
+        found = {}
+        for c in CLASSES:
+            n, whole = F.coalesce(f"n_{c}", F.lit(0)), F.col(f"all_{c}")
+            own = F.greatest(n - DISCOUNT, F.lit(0.0)) / whole + DISCOUNT * F.col(f"kinds_{c}") / whole * F.col(f"lower_{c}")
+            found[c] = F.when(whole > 0, own).otherwise(F.col(f"lower_{c}"))
+        lower = written(made.select("seq", *[found[c].alias(c) for c in CLASSES]))
+    return lower
+
+
+def differences(urls: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(line, difference)`` of every distinct line: how much likelier, per character, it is to be rejected."""
+    distinct = urls.select(_line().alias("line")).filter("line <> ''").distinct()
+    lines = written(distinct.withColumn("number", F.monotonically_increasing_id()))
+    spread = lines.select("number", F.explode(windows(F.col("line"), order)).alias("seq"))
+    placed = written(spread.groupBy("number", "seq").agg(F.count("*").alias("times")))
+    found = probabilities(counts, written(placed.select("seq").distinct()), order)
+    gain = found.select("seq", (F.ln("block") - F.ln("allow")).alias("gain"))
+    # In a fixed order, so that equal tables give equal sums.
+    scored = placed.join(gain, "seq").groupBy("number").agg(
+        F.array_sort(F.collect_list(F.col("times") * F.col("gain"))).alias("gains"), F.sum("times").alias("size")
     )
-
-
-class Model:
-    """Log-probabilities of kept sequences and the weight each context leaves to its shorter one."""
-
-    def __init__(self, counts: dict[str, int], order: int) -> None:
-        self.order = order
-        self.left: dict[str, float] = {}
-        self.prob: dict[str, float] = {}
-        after: dict[str, list[str]] = defaultdict(list)
-        for seq in counts:
-            after[seq[:-1]].append(seq)
-        for context in sorted(after, key=len):
-            total = sum(counts[s] for s in after[context])
-            # A context is at least as frequent as its kept sequences; the rest of it is left over too.
-            whole = max(total, counts.get(context, total)) if context else total
-            kept = sum(counts[s] - DISCOUNT for s in after[context]) / whole
-            self.left[context] = max(1 - kept, 1e-9)
-            for s in after[context]:
-                self.prob[s] = (counts[s] - DISCOUNT) / whole
-                self.prob[s] += self.left[context] * self._shorter(s)
-        self.known = bool(counts)
-
-    def _shorter(self, seq: str) -> float:
-        return 1 / SYMBOLS if len(seq) == 1 else self.probability(seq[1:])
-
-    def probability(self, seq: str) -> float:
-        """Probability of the last character after the others."""
-        weight = 1.0
-        while seq:
-            if seq in self.prob:
-                return weight * self.prob[seq]
-            weight *= self.left.get(seq[:-1], 1.0)
-            seq = seq[1:]
-        return weight / SYMBOLS
-
-    def log_likelihood(self, line: str) -> float:
-        padded = BEGIN * self.order + line + END
-        return sum(math.log(self.probability(padded[i - self.order : i + 1])) for i in range(self.order, len(padded)))
-
-
-def fitted(rows, order: int) -> dict[str, Model]:
-    by: dict[str, dict[str, int]] = {"allow": {}, "block": {}}
-    for r in rows:
-        by[r["ruled"]][r["seq"]] = r["n"]
-    return {k: Model(v, order) for k, v in by.items()}
-
-
-def differences(urls: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """Adds ``difference``: how much likelier, per character, the URL is among the rejected ones."""
-    names = urls.columns
-
-    def run(batches):
-        known: dict[str, float | None] = {}
-        for batch in batches:
-            out = []
-            for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()):
-                line = h + p
-                if line not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    ll = {k: m.log_likelihood(line) for k, m in models.items()}
-                    known[line] = (ll["block"] - ll["allow"]) / (len(line) + 1) if line else None
-                out.append(known[line])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "difference"])
-
-    schema = T.StructType([*urls.schema, T.StructField("difference", T.DoubleType())])
-    return urls.mapInArrow(run, schema)
+    total = F.aggregate("gains", F.lit(0.0), lambda a, x: a + x)
+    return lines.join(scored.select("number", (total / F.col("size")).alias("difference")), "number").select("line", "difference")
 
 
 def calibrated(scored: DataFrame, bins: int = 200) -> float:
@@ -170,13 +140,16 @@ def calibrated(scored: DataFrame, bins: int = 200) -> float:
     return at[len(at) // 2]
 
 
-def judge(pages: DataFrame, rules=RULES, order: int = ORDER, bound: int = BOUND) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     """``(page_id, host, path, rule, verdict, difference)`` for each row."""
-    urls = parsed(pages, rules)
+    urls = written(parsed(pages, rules).withColumn("line", _line()))
     labelled = urls.filter("ruled is not null")
     held_out = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
-    models = fitted(sequences(labelled.filter(~held_out), order, bound).collect(), order)
-    both = all(m.known for m in models.values())
-    threshold = calibrated(differences(labelled.filter(held_out), models)) if both else math.inf
+    counts = written(sequences(labelled.filter(~held_out), order))
+    scored = written(differences(urls, counts, order))
+    judged = urls.join(scored, "line", "left")
+    known = counts.agg(*[F.max(c) for c in CLASSES]).first()
+    both = all(known)
+    threshold = calibrated(judged.filter("ruled is not null").filter(held_out)) if both else math.inf
     verdict = F.coalesce("ruled", F.when(F.col("difference") > threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return differences(urls, models).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "difference")
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "difference")

@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from postsignal.llm import url_filter
 from postsignal.llm.url_filter import CAPITALS, RULES, SMALL
@@ -52,25 +53,72 @@ def test_odd_rows(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
-def test_counts_and_probabilities(spark):
-    pages = spark.createDataFrame([(i, f"http://a.net/{i % 7}/abab") for i in range(50)], "page_id long, url string")
-    labelled = url_filter.parsed(pages)
-    rows = url_filter.sequences(labelled, order=2).collect()
+def model_by_hand(lines, order):
+    """Probability of a character after a context, from counts of all sequences."""
     counts = {}
-    for i in range(50):
-        line = "\x02\x02" + f"a.net/{i % 7}/abab" + "\x03"
-        for at in range(2, len(line)):
-            for size in (1, 2, 3):
-                seq = line[at - size + 1 : at + 1]
+    for line in lines:
+        padded = "\x02" * order + line + "\x03"
+        for at in range(order, len(padded)):
+            for size in range(1, order + 2):
+                seq = padded[at - size + 1 : at + 1]
                 counts[seq] = counts.get(seq, 0) + 1
-    assert {r["seq"]: r["n"] for r in rows} == counts and {r["ruled"] for r in rows} == {"block"}
-    model = url_filter.Model(counts, 2)
-    seen = {c for s in counts for c in s if len(s) == 1}
-    for context in ("", "a", "ab", "/0", "zz"):
-        known = sum(model.probability(context + c) for c in seen)
-        unseen = model.probability(context + "\x7f") * (url_filter.SYMBOLS - len(seen))
-        assert math.isclose(known + unseen, 1, abs_tol=1e-6), context
-    assert model.log_likelihood("a.net/1/abab") > model.log_likelihood("b.org/x")
+    after = {}
+    for seq, n in counts.items():
+        after.setdefault(seq[:-1], []).append(n)
+
+    def probability(seq):
+        lower = 1 / url_filter.SYMBOLS if len(seq) == 1 else probability(seq[1:])
+        follow = after.get(seq[:-1])
+        if not follow:
+            return lower
+        return max(counts.get(seq, 0) - 0.5, 0) / sum(follow) + 0.5 * len(follow) / sum(follow) * lower
+
+    return probability
+
+
+def test_differences_and_verdicts_equal_a_model_over_all_sequences(pages):
+    order = url_filter.ORDER
+    got = url_filter.judge(pages).collect()
+    held = url_filter.parsed(pages).select("page_id", "ruled", (F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0).alias("out")).collect()
+    out, ruled = {r["page_id"]: r["out"] for r in held}, {r["page_id"]: r["ruled"] for r in held}
+    line = {r["page_id"]: r["host"] + r["path"] for r in got}
+    models = {c: model_by_hand([line[i] for i in line if ruled[i] == c and not out[i]], order) for c in ("allow", "block")}
+
+    def difference(text):
+        padded = "\x02" * order + text + "\x03"
+        seqs = [padded[i - order : i + 1] for i in range(order, len(padded))]
+        return sum(math.log(models["block"](s)) - math.log(models["allow"](s)) for s in seqs) / len(seqs)
+
+    for r in got:
+        text = line[r["page_id"]]
+        assert r["difference"] == (None if not text else pytest.approx(difference(text), abs=1e-9))
+    free = [r for r in got if r["rule"] is None and r["difference"] is not None]
+    blocked = [r["difference"] for r in free if r["verdict"] == "block"]
+    assert max((r["difference"] for r in free if r["verdict"] == "allow"), default=-9) <= min(blocked, default=9)
+
+
+def test_probabilities_add_up(spark):
+    pages = spark.createDataFrame([(i, f"http://a.net/{i % 7}/abab") for i in range(50)], "page_id long, url string")
+    counts = url_filter.sequences(url_filter.parsed(pages), order=2)
+    letters = sorted({c for i in range(7) for c in f"a.net/{i}/abab\x03"})
+    asked = [context + c for context in ("\x02\x02", "ab", "/0", "zz") for c in [*letters, "\x7f"]]
+    table = spark.createDataFrame([(s,) for s in asked], "seq string")
+    found = {r["seq"]: r["block"] for r in url_filter.probabilities(counts, table, order=2).collect()}
+    by_hand = model_by_hand([f"a.net/{i % 7}/abab" for i in range(50)], 2)
+    assert all(math.isclose(found[s], by_hand(s), rel_tol=1e-12) for s in asked)
+    for context in ("\x02\x02", "ab", "/0", "zz"):
+        unseen = found[context + "\x7f"] * (url_filter.SYMBOLS - len(letters))
+        assert math.isclose(sum(found[context + c] for c in letters) + unseen, 1, abs_tol=1e-9), context
+
+
+def test_urls_of_another_kind_do_not_change_a_difference(spark):
+    rows = [(i, f"http://h{i % 9}.{'example.com/de' if i % 2 else 'org/fr'}/{i}") for i in range(200)]
+    other = [(1000 + i, f"http://free{i}.invalid/{'x' * (i % 50)}") for i in range(500)]
+    made = [
+        {r["page_id"]: (r["difference"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(x, "page_id long, url string")).collect()}
+        for x in (rows, rows + other)
+    ]
+    assert all(made[1][i] == made[0][i] for i, _ in rows)
 
 
 def test_models_tell_unseen_urls_apart(spark):
