@@ -26,6 +26,7 @@ from ..operators import (
 )
 from ..session import shared_folder, written
 from ..sources import posts as files
+from ..streaming import rescore
 from . import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +277,16 @@ def post_score(spark: SparkSession, folder: str) -> DataFrame:
     return tally.post_score(docs, tables.comments(spark, folder))
 
 
+@query
+def stream_tallies(spark: SparkSession, folder: str) -> DataFrame:
+    """Votes per six hours, added up by a stream over the comments as they arrive."""
+    out = shared_folder(spark)
+    rescore.kept_tallies(tables.arriving_comments(spark, folder), out, shared_folder(spark)).awaitTermination()
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    wall = {c: epoch + F.make_dt_interval(secs=F.unix_seconds(c).cast("decimal(18,6)")) for c in ("low", "up")}
+    return rescore.newest(spark, out).withColumns(wall).select(_shown("low"), _shown("up"), "n_push", "n_hate", "n_neutral")
+
+
 @query
 def calendar_tags(spark: SparkSession, folder: str) -> DataFrame:
     posts = _with_calendar(tables.posts(spark, folder).select("post_id", "posted_at"))

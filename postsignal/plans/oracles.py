@@ -742,6 +742,15 @@ ORACLES: dict[str, str] = {
         from (select batch, sqrt(avg(e)) as root from errors group by batch)""",
     ),
     "han_terms": _sql(*_BASE, _HAN, _COUNTS, select="select post_id, term, tf from counts"),
+    "stream_tallies": _sql(
+        _COMMENTS,
+        select="""
+        select strftime(time_bucket(interval '6 hours', ts), '%Y-%m-%d %H:%M:%S') as low,
+               strftime(time_bucket(interval '6 hours', ts) + interval '6 hours', '%Y-%m-%d %H:%M:%S') as up,
+               count(*) filter (score = 1) as n_push, count(*) filter (score = -1) as n_hate,
+               count(*) filter (score = 0) as n_neutral
+        from comments group by time_bucket(interval '6 hours', ts)""",
+    ),
     "han_ngrams": _sql(*_BASE, _GRAMS, select="select gram, n, count from grams"),
     "han_dictionary": _sql(
         *_BASE,

@@ -12,10 +12,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def comments(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as comments, ten per post, with a vote code by event type."""
+def comments_of(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as comments, ten per post, with a vote code by event type."""
     kind = F.col("event_type")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.expr("event_id div 10").alias("post_id"),
         "event_id",
         "ts",
@@ -27,6 +27,18 @@ def comments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def comments(spark: SparkSession, folder: str) -> DataFrame:
+    return comments_of(table(spark, folder, "events"))
+
+
+def arriving_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream of files, with instants for times: the wall clock is read as that of UTC."""
+    schema = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/event[s].parquet")
+    micros = F.expr("timestampdiff(microsecond, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return comments_of(stream).withColumn("ts", F.timestamp_micros(micros))
+
+
 def _title(post_id: Column, source: Column) -> Column:
     last = post_id % 10
     prefix = (

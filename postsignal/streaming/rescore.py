@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,6 +28,32 @@ def step_tallies(comments: DataFrame, step: str = "6 hours", late: str = "6 hour
     )
 
 
+def kept_tallies(comments: DataFrame, out: str, checkpoint: str, step: str = "6 hours") -> StreamingQuery:
+    """Writes the tallies of all steps so far after every batch of what has arrived.
+
+    The stream ends when it has read what is there; started again with the same ``checkpoint``, it goes
+    on with the sums it had. Every batch has its own folder, ``batch=<number>``, and overwrites itself
+    when it is run again; the greatest number is the newest state.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return (
+        step_tallies(comments, step).writeStream.outputMode("complete")
+        .foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def newest(spark: SparkSession, out: str) -> DataFrame:
+    """The tallies after the last batch."""
+    every = spark.read.parquet(out)
+    return every.join(every.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+
+
 def score_stream(
     topics: DataFrame,
     newest_index: Callable[[], DataFrame],
