@@ -109,7 +109,19 @@ def posts_from_json(spark: SparkSession, folder: str) -> DataFrame:
     """Posts written as files of JSON arrays, a hundred posts each at most, and read back."""
     path = shared_folder(spark)
     files.write_json_arrays(_with_comments(spark, folder), path, "part")
-    read = files.read_json(spark, path)
+    return _shown_posts(files.read_json(spark, path))
+
+
+@query
+def posts_from_json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same files read in parts that are cut by bytes."""
+    path = shared_folder(spark)
+    files.write_json_arrays(_with_comments(spark, folder), path, "part")
+    kept, _ = files.read_json_by_lines(spark, path)
+    return _shown_posts(kept)
+
+
+def _shown_posts(read: DataFrame) -> DataFrame:
     return read.select(
         "url",
         "title",

@@ -790,3 +790,4 @@ ORACLES: dict[str, str] = {
                round(score_neutral, 6) as score_neutral, scored from scores""",
     ),
 }
+ORACLES["posts_from_json_lines"] = ORACLES["posts_from_json"]

@@ -57,6 +57,30 @@ def read_json_or_reject(
     return read.filter("_rejected is null").drop("_rejected", "_file"), rejects
 
 
+def read_json_by_lines(
+    spark: SparkSession, paths: str | list[str], schema: T.StructType = POST_SCHEMA
+) -> tuple[DataFrame, DataFrame]:
+    """``(posts, rejects)`` of arrays whose records end where lines end, however large a file is.
+
+    Text files are cut by bytes and each part begins at its first whole line, so one file is read by
+    many tasks. JSON spells line breaks in strings out, so a line holds whole records: one, as the crawler
+    writes them, or several. The brackets and commas between records are left out. ``rejects`` has
+    ``(file, text)`` of each line that is not made of records; the lines around it are kept.
+    """
+    lines = spark.read.text(paths).select(F.btrim("value", F.lit(" \t\r")).alias("line"), F.col("_metadata.file_path").alias("file"))
+    # A bracket or comma at either end stands between records: a record itself has braces there.
+    inner = F.regexp_replace(F.regexp_replace("line", r"^[\[,]\s*|\ufeff", ""), r"\s*\]$", "")
+    inner = F.regexp_replace(inner, r"\s*,$", "")
+    records = F.from_json(
+        F.concat(F.lit("["), "inner", F.lit("]")), T.ArrayType(schema), {"timestampNTZFormat": TIME_FORMAT}
+    )
+    # Parsed once into a table: what was rejected cannot be asked for on its own while parsing.
+    read = written(lines.withColumn("inner", inner).filter("inner <> ''").select("file", "line", "inner", records.alias("records")))
+    whole = F.col("records").isNotNull() & F.col("inner").startswith("{") & F.col("inner").endswith("}")
+    kept = read.filter(whole).select(F.inline("records"))
+    return kept, read.filter(~F.coalesce(whole, F.lit(False))).select("file", F.col("line").alias("text"))
+
+
 def write_json_arrays(posts: DataFrame, path: str, file_key: str) -> None:
     """Posts as text files of one JSON array per value of ``file_key``.
 

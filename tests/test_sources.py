@@ -25,6 +25,35 @@ def test_json_arrays_of_several_files(spark, tmp_path):
     assert rows["t2"]["content"] is None
 
 
+@pytest.mark.parametrize("ends", [("[", ",\n", "]"), ("[\n", ",\n", "\n]\n"), ("[", "\r\n, ", " ]"), ("[", ", ", "]")])
+def test_one_large_array_is_read_by_several_tasks(spark, tmp_path, ends):
+    texts = ['a},{"b', "]\n[", 'q" \\" \\\\', "},", "[{", "新聞 é", "", ",", "x" * 3000]
+    rows = [
+        {"title": f"t{i} {texts[i % 9]}", "content": texts[i * 7 % 9], "date": "2017-04-05 12:34:56", "score": i,
+         "comments": [{"user": texts[i * 5 % 9], "content": "c", "score": 1}] * (i % 3)}
+        for i in range(300)
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(ends[0] + ends[1].join(json.dumps(r, ensure_ascii=i % 2 == 0) for i, r in enumerate(rows)) + ends[2])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 4
+        kept, rejects = files.read_json_by_lines(spark, str(tmp_path / "in"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = files.read_json(spark, str(tmp_path / "in"))
+    assert sorted(kept.collect(), key=repr) == sorted(whole.collect(), key=repr) and rejects.isEmpty()
+    assert kept.count() == 300
+
+
+def test_lines_that_are_no_records_are_handed_over(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"title": "a"},\n{"title": "b", "content": "cut\n{"title": "c"}, {"title": "d"},\n17,\n{"title": "e"}]')
+    kept, rejects = files.read_json_by_lines(spark, str(tmp_path / "a.json"))
+    assert sorted(r["title"] for r in kept.collect()) == ["a", "c", "d", "e"]
+    assert sorted((r["file"].rsplit("/")[-1], r["text"]) for r in rejects.collect()) == [("a.json", "17,"), ("a.json", '{"title": "b", "content": "cut')]
+
+
 def test_csv_keeps_quotes_breaks_and_columns(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, 'a "b", c\nd', datetime(2024, 1, 1, 2, 3, 4)), (2, "back\\slash \\n \\b 新聞\r\n", None), (3, None, None)],
