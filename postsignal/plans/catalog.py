@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, html, text, urls, votes
 from ..operators import (
     convnet,
+    elements,
     encode,
     evaluate,
     filters,
@@ -215,6 +216,13 @@ def list_page_links(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("position", F.col("position").cast("long"))
 
 
+@query
+def board_page_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies of all board pages, found by the intervals of their elements."""
+    found = elements.bodies(written(pages.without_gates(tables.board_pages(spark, folder))))
+    return found.select("page_id", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
 @query
 def board_page_posts_all(spark: SparkSession, folder: str) -> DataFrame:
     """Board pages of all documents, with comments or without, rendered and taken apart again."""

@@ -742,6 +742,12 @@ ORACLES: dict[str, str] = {
         from (select batch, sqrt(avg(e)) as root from errors group by batch)""",
     ),
     "han_terms": _sql(*_BASE, _HAN, _COUNTS, select="select post_id, term, tf from counts"),
+    "board_page_bodies": _sql(
+        *_BASE,
+        select="""
+        select post_id as page_id, cast(length(content) as bigint) as n_chars, md5(content) as content_md5
+        from posts where post_id % 50 < 49""",
+    ),
     "stream_tallies": _sql(
         _COMMENTS,
         select="""
