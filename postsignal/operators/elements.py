@@ -31,10 +31,13 @@ def tokens(page: Column) -> Column:
 
 def _spread(pages: DataFrame) -> DataFrame:
     """``(page_id, place, size, token)`` of all tokens that are tags."""
-    tags = F.filter(
-        F.transform(tokens(F.col("html")), lambda t, i: F.struct(i.alias("place"), t.alias("token"))), lambda x: x["token"].startswith("<")
-    )
-    return pages.select("page_id", F.size(tokens(F.col("html"))).alias("size"), F.inline(tags))
+
+    def tags(every: Column) -> Column:
+        shown = F.transform(every, lambda t, i: F.struct(i.alias("place"), F.size(every).alias("size"), t.alias("token")))
+        return F.filter(shown, lambda x: x["token"].startswith("<"))
+
+    # The page is taken apart once, and only its tags leave it.
+    return pages.select("page_id", F.inline(F.get(F.transform(F.array(tokens(F.col("html"))), tags), F.lit(0))))
 
 
 def elements(pages: DataFrame) -> DataFrame:
