@@ -76,7 +76,7 @@ def bodies(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
     last = every.filter(has_class(F.col("tag"), layout.body_start)).groupBy("page_id").agg(F.max("start").alias("begin"))
     texts = F.transform(tokens(F.col("html")), lambda t, i: F.struct(i.alias("place"), t.alias("text")))
     footers = F.filter(texts, lambda x: (~x["text"].startswith("<")) & x["text"].rlike(layout.footer))
-    found = pages.select("page_id", F.get(footers, F.lit(0))["place"].alias("footer")).filter("footer is not null")
+    found = pages.select("page_id", F.get(footers, F.lit(0))["place"].alias("footer"))
     around = (F.col("start") < F.col("footer")) & (F.col("footer") < F.col("stop"))
     parent = every.join(found, "page_id").filter(around).groupBy("page_id").agg(F.max("start").alias("end"))
     bounds = last.join(parent, "page_id").filter("begin < end")
