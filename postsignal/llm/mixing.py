@@ -1,14 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source is a flow whose packets are its documents in a seeded random order, repeated up to
-``most`` times. A document's virtual finish time is the words its source has sent up to and with it,
-divided by the source's target; all documents are sorted by it over the whole table and the mix is
-cut where the total budget is reached. The document a source is sending at that moment is cut at a
-word, so every source ends within a word of its target.
+Each source is a flow of its documents in a seeded random order, repeated up to ``most`` times. A
+document is one packet; one that is longer than ``1/packets`` of its source's target goes as several
+packets in a row. A packet's virtual finish time is the words its source has sent up to and with it,
+divided by the source's target. All packets are sorted by it over the whole table and sent until the
+total budget is reached, where the packet being sent is cut at a word. What a source gets is decided
+by that order alone; it ends within two packets of its target.
 
 Null text: size 0, never sent. Null source: a source of its own, last in order. Ties in the random
-order: by id, then by size. Repeated rows: documents of their own. Empty table: no rows. Other
-columns: left out by :func:`mix`, kept by :func:`mixed_documents`.
+order: by id, then by size; of finish times: by source, then by document. Very long texts: packets of
+bounded share, so none keeps its source from its target. Repeated rows: documents of their own. Empty
+table: no rows. Other columns: left out by :func:`mix`, kept by :func:`mixed_documents`.
 """
 
 from __future__ import annotations
@@ -85,7 +87,12 @@ def _running(df: DataFrame, by: list[str], bucket: str, order: list, size: str,
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, rows_a_bucket: int = 2000
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = 3,
+    seed: int = 7,
+    rows_a_bucket: int = 2000,
+    packets: int = 10_000,
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken, first_at)``, one row per row of ``docs``.
 
@@ -105,16 +112,23 @@ def mix(
         per.withColumnsRenamed({"source": "_source"}), F.col("source").eqNullSafe(F.col("_source"))
     ).drop("_source")
     ordered = written(ordered.withColumn("row", F.struct("doc_id", "size", "before", "draw")))
+    # Packets that begin beyond this time cannot be sent: by then every source, none of whose packets
+    # spans more than one part in ``packets`` or a word, has sent its target, and targets add up to the budget.
+    end = F.col("target") * (1 + 2.0 / packets) + 2
+    longest = F.ceil(F.col("target") / packets)
     sent = (
         ordered.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
         .withColumn("start", F.col("turn") * F.col("source_size") + F.col("before"))
-        .filter((F.col("size") > 0) & (F.col("start") < F.floor("target")))
-        .withColumn("words", F.least(F.col("size"), F.floor("target") - F.col("start")))
+        .filter((F.col("size") > 0) & (F.col("start") < end))
+        .withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, longest)))
+        .withColumn("words", F.least(F.col("size") - F.col("skip"), longest))
+        .withColumn("start", F.col("start") + F.col("skip"))
+        .filter(F.col("start") < end)
         .withColumn("finish", (F.col("start") + F.col("words")) / F.col("target"))
-        .withColumn("range", F.least(F.floor(F.col("finish") * 4 * buckets), F.lit(4 * buckets)))
-        .select("source", "row", "turn", "words", "finish", "range")
+        .withColumn("range", F.least(F.floor(F.col("finish") * 4 * buckets), F.lit(8 * buckets)))
+        .select("source", "row", "turn", "skip", "words", "finish", "range")
     )
-    queued = _running(sent, [], "range", ["finish", F.col("source").asc_nulls_last(), "row", "turn"], "words", "at")
+    queued = _running(sent, [], "range", ["finish", F.col("source").asc_nulls_last(), "row", "turn", "skip"], "words", "at")
     budget = F.coalesce(F.lit(sizes.agg(F.sum("size")).first()[0]), F.lit(0))
     taken = (
         queued.withColumn("words", F.greatest(F.least(F.col("words"), budget - F.col("at")), F.lit(0)))

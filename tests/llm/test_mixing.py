@@ -1,7 +1,9 @@
 """Targets against step-by-step sharing, and the mix's sums, caps and odd rows."""
 
+import heapq
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -48,6 +50,49 @@ def test_whole_table(documents, texts):
     check(rows)
 
 
+def queue(rows, targets, buckets, packets, most=3):
+    """Words taken of each document, packet by packet from a heap of the sources' next finish times."""
+    per = defaultdict(list)
+    for doc_id, source, size, draw in rows:
+        per[source].append(((draw % (1 << 64) >> 20) % buckets, draw % (1 << 20), draw, doc_id, size))
+    sizes = {s: sum(d[4] for d in docs) for s, docs in per.items()}
+    name = lambda s: (s is None, s or "")
+
+    def flow(s):
+        longest, done = math.ceil(targets[s] / packets), 0
+        for _ in range(most):
+            for *_, doc_id, size in sorted(per[s]):
+                for skip in range(0, size, longest):
+                    words = min(longest, size - skip)
+                    done += words
+                    yield done / targets[s], name(s), doc_id, words
+
+    flows = {name(s): flow(s) for s in per if sizes[s]}
+    heap = [next(f) for f in flows.values()]
+    heapq.heapify(heap)
+    left, taken = sum(sizes.values()), Counter()
+    while heap and left:
+        _, s, doc_id, words = heapq.heappop(heap)
+        taken[doc_id] += min(words, left)
+        left -= min(words, left)
+        following = next(flows[s], None)
+        if following:
+            heapq.heappush(heap, following)
+    return taken
+
+
+def test_takes_what_a_step_by_step_queue_sends(spark, docs_of):
+    rows = [(i, "w " * ((i * 37) % 90 + (4000 if i == 11 else 0)), [None, "a", "b", "b", "b", "c"][i % 6]) for i in range(240)]
+    docs = docs_of(rows)
+    drawn = docs.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"))
+    drawn = [tuple(r) for r in drawn.withColumn("draw", F.xxhash64(F.lit(7), "doc_id", "size")).collect()]
+    for packets in (1, 20, 10_000):
+        got = mixing.mix(docs, packets=packets, rows_a_bucket=10).collect()
+        targets = {r["source"]: r["target"] for r in got}
+        assert {r["doc_id"]: r["taken"] for r in got if r["taken"]} == +queue(drawn, targets, 32, packets)
+        assert sum(r["taken"] for r in got) == sum(r[2] for r in drawn)
+
+
 def test_sources_at_their_bound_and_null_source(docs_of):
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(2, "a"), (1, "a"), (400, "b"), (300, "b"), (90, "c"), (7, "d"), (3, None), (1, "Z")])]
     got = mixing.mix(docs_of(rows)).collect()
