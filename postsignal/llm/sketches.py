@@ -2,12 +2,12 @@
 
 A sketch holds every distinct hash of a five-word sequence that lies in the lowest ``1/scale`` of the
 hash range, and the smallest hash if there is none there. Sketches of parts merge to the sketch of
-the whole, and the share of one sketch found in another estimates containment however unequal the
-two documents are.
+all their sequences (:func:`merged`), and the share of one sketch found in another estimates
+containment however unequal the two documents are.
 
 Null text: an empty text. Empty text, or only blanks: an empty sketch, like only to another empty
 one. Fewer than five words: their sequence is the one hashed. Null id: after all others in the order
-of ids. Ties of ids: ordered by text. Repeated rows: all returned. One row: it is its own next
+of ids. Ties of ids: ordered by text. Very long text: split whole; its sketch grows with it. Repeated rows: all returned. One row: it is its own next
 document. Empty table: no rows. Other columns are left out, whatever their names.
 """
 
@@ -25,22 +25,33 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _kept(hashes: Column, scale: int) -> Column:
+    """The sketch of some hashes: those in the lowest part of the unsigned range, else the smallest."""
+    below = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 1) < (1 << 63) // scale)
+    # The range is unsigned, so negative hashes are its upper half.
+    least = F.coalesce(F.array_min(F.filter(hashes, lambda h: h >= 0)), F.array_min(hashes))
+    return _let(below, lambda b: F.when(F.size(b) > 0, F.array_sort(F.array_distinct(b))).otherwise(F.array(least)))
+
+
+def merged(sketches: Column, scale: int = 4) -> Column:
+    """One sketch from an array of sketches of the same ``scale``.
+
+    It is the sketch of all their sequences together: a part without a hash in the lowest part gives
+    its smallest, which is dropped once another part has one there. No sketch, or only empty ones: empty.
+    """
+    every = F.flatten(F.filter(sketches, lambda s: s.isNotNull()))
+    return _let(every, lambda h: F.when(F.size(h) > 0, _kept(h, scale)).otherwise(F.array().cast("array<bigint>")))
+
+
 def sketch(text: Column, scale: int = 4, words: int = SHINGLE) -> Column:
     """Sorted hashes; a text is split once, and only kept hashes are sorted."""
 
-    def kept(hashes: Column) -> Column:
-        below = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 1) < (1 << 63) // scale)
-        # The range is unsigned, so negative hashes are its upper half.
-        upper = F.array_min(hashes)
-        least = F.coalesce(F.array_min(F.filter(hashes, lambda h: h >= 0)), upper)
-        return _let(below, lambda b: F.when(F.size(b) > 0, F.array_sort(F.array_distinct(b))).otherwise(F.array(least)))
-
     def hashes(tokens: Column) -> Column:
         begins = F.sequence(F.lit(0), F.greatest(F.size(tokens) - words, F.lit(0)))
         return F.transform(begins, lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(words)]))
 
     bare = F.trim(text, F.lit(BLANKS))
-    made = _let(F.split(bare, r"[\x20\x09-\x0D]+"), lambda tokens: _let(hashes(tokens), kept))
+    made = _let(F.split(bare, r"[\x20\x09-\x0D]+"), lambda tokens: _let(hashes(tokens), lambda h: _kept(h, scale)))
     return F.when(F.length(bare) == 0, F.array().cast("array<bigint>")).otherwise(made)
 
 
@@ -85,14 +96,14 @@ def next_documents(docs: DataFrame, scale: int = 4, rows: int = 2000) -> DataFra
     """``(doc_id, text, sketch, next_text, next_sketch)`` by falling id; the first follows the last.
 
     Texts move once, to their range of ids. Each range's first document is handed to the range
-    above, whose last document it follows.
+    above, whose last document it follows; only these are sketched a second time.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranged = texts.withColumn("range", _ranges(docs.select("doc_id"), rows))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    placed = ranged.withColumn("row", F.row_number().over(inside))
     held = ranged.withColumn("sketch", sketch(F.col("text"), scale)).select(
         "range", "doc_id", "text", "sketch",
-        F.row_number().over(inside).alias("row"),
         F.lead("text").over(inside).alias("next_text"),
         F.lead("sketch").over(inside).alias("next_sketch"),
     )
@@ -102,8 +113,8 @@ def next_documents(docs: DataFrame, scale: int = 4, rows: int = 2000) -> DataFra
         F.col("range").alias("of"),
         F.coalesce(F.lag("range").over(falling), F.min("range").over(whole)).alias("to"),
     )
-    heads = held.filter("row = 1").join(above, F.col("range") == F.col("of")).select(
-        "to", F.col("text").alias("head_text"), F.col("sketch").alias("head_sketch")
+    heads = placed.filter("row = 1").join(above, F.col("range") == F.col("of")).select(
+        "to", F.col("text").alias("head_text"), sketch(F.col("text"), scale).alias("head_sketch")
     )
     last = F.col("next_text").isNull()
     return held.join(heads, (F.col("range") == F.col("to")) & last, "left").select(

@@ -75,3 +75,17 @@ def test_sketches_merge_and_tell_containment(spark):
     df = spark.createDataFrame([(long, part)], "a string, b string").select(sketches.sketch(F.col("a"), 8).alias("a"), sketches.sketch(F.col("b"), 8).alias("b"))
     got = df.select(sketches.containment(F.col("b"), F.col("a")).alias("in"), sketches.containment(F.col("a"), F.col("b")).alias("out"), F.array_except("b", "a").alias("rest")).first()
     assert got["in"] == 1.0 and 0.05 < got["out"] < 0.15 and got["rest"] == []
+
+
+def test_parts_merge_to_the_sketch_of_their_sequences(spark):
+    parts = [["a b c d e", "f g h i j"], ["x"], ["", "one two three"], ["", ""], []]
+    parts += [[" ".join(f"{k}w{i * k % 17}" for i in range(n)) for n in sizes] for k, sizes in enumerate([(5, 6, 7), (300, 5), (5, 5, 5, 5)], 2)]
+    for scale in (2, 4, 64):
+        df = spark.createDataFrame([(p,) for p in parts], "parts array<string>")
+        made = df.select(sketches.merged(F.transform("parts", lambda t: sketches.sketch(t, scale)), scale).alias("m")).collect()
+        for row, texts in zip(made, parts):
+            every = set().union(*[plain(t, 1) for t in texts])
+            below = {h for h in every if h < (1 << 64) // scale}
+            wanted = below or ({min(every)} if every else set())
+            assert {h & (1 << 64) - 1 for h in row["m"]} == wanted
+            assert row["m"] == sorted(row["m"])
