@@ -12,7 +12,9 @@ training texts, each token left out of its own counts, are likeliest.
 Counts are never held whole. Texts are dealt into chunks; a chunk sends its distinct words and pairs,
 as sorted 56-bit hashes with its own counts, to ranges of hashes. A range adds them up and answers
 each chunk with the totals in the chunk's own order, and the chunk then walks its texts. A frequent
-word or pair is one entry per chunk, so no range is hot; chunks and ranges follow the input's size.
+word or pair is one entry per chunk, so no range is hot; chunks and ranges follow the input's size. A
+chunk sends one row per range that it has entries in, so rows never outnumber distinct entries of
+chunks, which grow in proportion to the input.
 
 Null or empty text: one token, the end. Null id: not held out. Repeated rows: all counted and all
 scored. No training text: ``N`` and ``V`` are 0 and every token is unknown. Empty table: no rows.
@@ -123,12 +125,11 @@ def requests(dealt: DataFrame, ranges: int) -> DataFrame:
         rows: list[tuple] = []
         for kind, values in enumerate(_entries(token, state)):
             distinct, counts = _distinct(values, train)
-            edges = np.searchsorted(distinct, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(shift))
-            edges[-1] = len(distinct)
-            for r in range(ranges):
-                a, b = int(edges[r]), int(edges[r + 1])
-                if b > a:
-                    rows.append((r, chunk, kind, b - a, packed(distinct[a:b]), _small(counts[a:b])))
+            # Only ranges that hold an entry: a chunk never sends more rows than it has entries.
+            into = distinct >> np.uint64(shift)
+            begins_at = np.flatnonzero(np.diff(into, prepend=~into[:1])).tolist()
+            for a, b in zip(begins_at, [*begins_at[1:], len(distinct)]):
+                rows.append((int(into[a]), chunk, kind, b - a, packed(distinct[a:b]), _small(counts[a:b])))
         return _table(rows, REQUEST)
 
     return dealt.groupBy("chunk").applyInArrow(run, REQUEST)

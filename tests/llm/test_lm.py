@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postsignal.llm import lm
 
@@ -84,3 +85,15 @@ def test_no_training_text(docs_of):
     got = lm.score(docs_of([(only, "a b")])).first()
     assert (got["n_known"], got["train_tokens"], got["n_tokens"]) == (0, 0, 3)
     assert got["base_score"] == pytest.approx(0.0) and got["score"] == pytest.approx(0.0)
+
+
+def test_chunks_send_no_more_rows_than_they_have_entries(documents):
+    dealt = documents.select("doc_id", "text", F.lit(True).alias("train"), F.col("doc_id").cast("int").alias("chunk")).filter("chunk < 12")
+    texts = {r["doc_id"]: WORD.findall((r["text"] or "").translate(LOWER)) + ["</s>"] for r in dealt.collect()}
+    wanted = {i: (len(set(w)), len(set(zip(["<s>", *w], w)))) for i, w in texts.items()}
+    for ranges in (1, 8, 1 << 14, 1 << 30):
+        rows = lm.requests(dealt, ranges).collect()
+        for i, sizes in wanted.items():
+            for kind, n in enumerate(sizes):
+                mine = [r for r in rows if r["chunk"] == i and r["kind"] == kind]
+                assert sum(r["n"] for r in mine) == n and len(mine) <= min(n, ranges)
