@@ -17,8 +17,10 @@ from ..operators import (
     keywords,
     lexicon,
     pages,
+    permute,
     regress,
     rolling,
+    selection,
     split,
     stats,
     tally,
@@ -562,6 +564,18 @@ def epoch_batches(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def epoch_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of four epochs whose orders are permutations of one numbering; training ranks are dense already."""
+    rows = written(split.split_rows(tables.texts(spark, folder).select("post_id")))
+    train = rows.filter(F.col("split") == "train")
+    n, first = train.agg(F.count("*"), F.min("rank")).first()
+    numbered = train.select("post_id", (F.col("rank") - (first or 0)).alias("number"))
+    return permute.epoch_batches(numbered, n).select(
+        F.col("epoch").cast("long").alias("epoch"), "batch", "place", "post_id"
+    )
+
+
 # Statistics
 
 
@@ -571,6 +585,13 @@ def vote_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(summary, "q1", "median", "mean", "q3")
 
 
+@query
+def value_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Six numbers of a continuous measure per kind of event, exact by selection."""
+    values = tables.table(spark, folder, "events").select(F.col("event_type").alias("measure"), "value")
+    return _rounded(selection.six_numbers(values), "q1", "median", "mean", "q3")
+
+
 @query
 def hate_by_hour(spark: SparkSession, folder: str) -> DataFrame:
     posts = _with_calendar(tables.posts(spark, folder))

@@ -183,6 +183,30 @@ parted as (
   from ranked, sizes)"""
 
 
+def _stirred(digit: str, key: str) -> str:
+    spread = f"(({digit} * 48271 + {key}) % 2147483647)"
+    return f"(({spread} * {spread} % 2147483647) * 16807 + {key}) % 2147483647"
+
+
+_PASS = ", ".join(
+    f"(l{i} + {_stirred(f'r{i}', f'k[{2 * i + 1}]')}) % a as l{i + 1}, (r{i} + {_stirred(f'l{i + 1}', f'k[{2 * i + 2}]')}) % b as r{i + 1}"
+    for i in range(3)
+)
+#: Places of training rows in each epoch: rounds over two digits, again until the number is in range.
+_PERMUTED = f"""
+numbered as (
+  select post_id, cast(rank - min(rank) over () as bigint) as number, count(*) over () as n
+  from parted where split = 'train'),
+walks as (
+  select post_id, epoch, number as x, 0 as step, n, cast(floor(sqrt(n - 1)) as bigint) + 1 as a,
+         (n + a - 1) // a as b,
+         [cast('0x' || substr(md5('57:' || epoch || ':' || i), 1, 7) as bigint) for i in range(6)] as k
+  from numbered, (select unnest(range(4)) as epoch)
+  union all
+  select post_id, epoch, l3 * b + r3, step + 1, n, a, b, k
+  from (select *, x // b as l0, x % b as r0, {_PASS} from walks where step = 0 or x >= n))"""
+
+
 def _sql(*ctes: str, select: str) -> str:
     return "with " + ",\n".join(cte.strip() for cte in ctes) + "\n" + select.strip()
 
@@ -608,6 +632,17 @@ ORACLES: dict[str, str] = {
                  order by md5('57:' || epoch || ':' || post_id), post_id) - 1) // 64 as batch, post_id
         from parted, (select unnest(range(4)) as epoch) where split = 'train'""",
     ),
+    "epoch_permutation": "with recursive " + _sql(
+        *_BASE,
+        _RANKED,
+        _PERMUTED,
+        select="select epoch, x // 64 as batch, x as place, post_id from walks where step > 0 and x < n",
+    ).removeprefix("with "),
+    "value_summary": """
+        select event_type as measure, min(value) as minimum, round(quantile_cont(value, 0.25), 6) as q1,
+               round(quantile_cont(value, 0.5), 6) as median, round(avg(value), 6) as mean,
+               round(quantile_cont(value, 0.75), 6) as q3, max(value) as maximum
+        from events where event_type is not null and value is not null and not isnan(value) group by event_type""",
     "vote_summary": _sql(*_BASE, select=_SUMMARY),
     "hate_by_hour": _sql(
         *_BASE,
