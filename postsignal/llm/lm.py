@@ -17,7 +17,8 @@ chunk sends one row per range that it has entries in, so rows never outnumber di
 chunks, which grow in proportion to the input.
 
 Null or empty text: one token, the end. Null id: not held out. Repeated rows: all counted and all
-scored. No training text: ``N`` and ``V`` are 0 and every token is unknown. Empty table: no rows.
+scored. No training text: ``N`` and ``V`` are 0 and every token is unknown. Very long text: scored
+whole, in a chunk that is larger by it. Ties of failure weights: the larger weight. Empty table: no rows.
 Other columns are left out, whatever their names.
 """
 
