@@ -121,3 +121,36 @@ def test_texts_keep_everything_else(corpus):
         assert (got[i] or "").replace(" ", "") == (text or "").replace(" ", "") and (got[i] is None) == (text is None)
     assert got[1002] == "no such run" and got[0] == got[1003]
     assert lexicon.segmented(texts.filter(F.lit(False)), weights).collect() == []
+
+
+def test_packets_of_any_size_give_the_same_words(spark, monkeypatch):
+    draw = random.Random(11)
+    alphabet = ALPHABET + "\U00020000"  # four bytes in UTF-8
+    weights = {c: draw.randint(-9, -5) * 1_000_000 for c in alphabet}
+    for _ in range(30):
+        weights["".join(draw.choices(alphabet, k=draw.randint(2, 4)))] = draw.randint(-14, -6) * 1_000_000
+    runs = sorted({"".join(draw.choices(alphabet, k=draw.randint(1, 9))) for _ in range(60)})
+    texts = spark.createDataFrame([(r + " " + r,) for r in runs], "content string").coalesce(1)
+    table = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, weight long")
+    expected = Counter()
+    for run in runs:
+        for n in range(1, 6):
+            expected.update(2 * [run[i : i + n] for i in range(len(run) - n + 1)])
+    for size in (1, 40, 1_000_000):
+        monkeypatch.setattr(lexicon, "PACKET", size)
+        assert {r["gram"]: r["count"] for r in lexicon.gram_counts(texts).collect()} == expected
+        got = lexicon.cut_runs(spark.createDataFrame([(r,) for r in runs], "run string").coalesce(1), table)
+        assert {r["run"]: r["words"] for r in got.collect()} == {r: best_cut(r, weights) for r in runs}
+
+
+def test_places_of_runs_are_not_spread_into_rows(spark):
+    """Only a packet's distinct strings meet the weights: one row each, however often they occur."""
+    table = spark.createDataFrame([("台", -5), ("北", -5), ("台北", -6)], "gram string, weight long")
+    cut = lexicon.cut_runs(spark.createDataFrame([("台北" * 500,)], "run string"), table)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert cut.first()["words"] == ["台北"] * 500
+    empty = spark.createDataFrame([(None,), ("",)], "run string")
+    assert lexicon.cut_runs(empty, table).collect() == []
+    # A character without a weight: the whole run is cut into characters.
+    assert lexicon.cut_runs(spark.createDataFrame([("台北天",)], "run string"), table).first()["words"] == ["台", "北", "天"]
