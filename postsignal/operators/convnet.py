@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK = 4096
-ROWS = 256  # texts whose responses are held at once
+ROWS = 32  # texts whose responses are held at once: few enough for a core's cache
 
 
 @dataclass(frozen=True)
@@ -93,40 +93,44 @@ def _laid_out(lists: pa.ListArray, widest: int) -> tuple[np.ndarray, np.ndarray,
     return words, begins[:-1], full
 
 
-def _responses(weights: dict[str, np.ndarray], words: np.ndarray, begins: np.ndarray, full: np.ndarray, to: Settings):
+def tables(flat: np.ndarray, to: Settings, meta: int) -> dict[int, list[np.ndarray]]:
+    """Response of every filter to every word, per width and place in the filter.
+
+    There are far fewer words than places in texts, so a place only looks its responses up and adds them.
+    """
+    weights = parts(flat, to, meta)
+    return {w: [weights["words"] @ one for one in weights[f"filter_{w}"]] for w in to.widths}
+
+
+def _responses(made_of: dict[int, list[np.ndarray]], words: np.ndarray, begins: np.ndarray, full: np.ndarray, to: Settings):
     """``(largest response per text and filter, its place)`` of each width."""
-    given = weights["words"][words]
-    out = []
+    out, each = [], np.arange(to.filters)
+    room = np.empty((2, len(words), to.filters))
     for w in to.widths:
         n = len(words) - w + 1
-        made = sum(given[j : j + n] @ weights[f"filter_{w}"][j] for j in range(w))
-        # A place whose words reach into the next text is none.
-        ends = np.repeat(begins + full, full)[:n]
-        made[np.arange(n) + w > ends] = -np.inf
-        top = np.maximum.reduceat(made, begins, axis=0)
-        text = np.repeat(np.arange(len(begins)), full)[:n]
-        place = np.empty(top.shape, np.int64)
-        for f in range(to.filters):
-            hit = np.flatnonzero(made[:, f] == top[text, f])
-            owner, first_hit = np.unique(text[hit], return_index=True)
-            place[owner, f] = hit[first_hit]
-        out.append((top, place))
+        made, more = room[0, :n], room[1, :n]
+        made_of[w][0].take(words[:n], axis=0, out=made, mode="clip")
+        for j in range(1, w):
+            made += made_of[w][j].take(words[j : j + n], axis=0, out=more, mode="clip")
+        # Places whose words reach into the next text are none.
+        place = np.array([b + made[b : b + f - w + 1].argmax(axis=0) for b, f in zip(begins.tolist(), full.tolist())])
+        out.append((made[place, each], place))
     return out
 
 
-def forward(flat: np.ndarray, lists: pa.ListArray, meta: np.ndarray, to: Settings):
-    """Predictions, and what :func:`gradient` needs."""
+def forward(flat: np.ndarray, lists: pa.ListArray, meta: np.ndarray, to: Settings, made_of: dict[int, list[np.ndarray]] | None = None):
+    """Predictions, and what :func:`gradient` needs. ``made_of``: the weights' :func:`tables`, if they are at hand."""
     weights = parts(flat, to, meta.shape[1])
     words, begins, full = _laid_out(lists, max(to.widths))
-    found = _responses(weights, words, begins, full, to)
+    found = _responses(made_of or tables(flat, to, meta.shape[1]), words, begins, full, to)
     raw = np.concatenate([top + weights[f"bias_{w}"] for w, (top, _) in zip(to.widths, found)], axis=1)
     inputs = np.concatenate([np.maximum(raw, 0), meta, np.ones((len(meta), 1))], axis=1)
     return inputs @ weights["out"], (weights, words, found, raw, inputs)
 
 
-def gradient(flat: np.ndarray, lists: pa.ListArray, meta: np.ndarray, label: np.ndarray, to: Settings) -> tuple[np.ndarray, float]:
+def gradient(flat: np.ndarray, lists: pa.ListArray, meta: np.ndarray, label: np.ndarray, to: Settings, made_of: dict[int, list[np.ndarray]] | None = None) -> tuple[np.ndarray, float]:
     """Sum over rows of the gradient of half the squared error, and that sum itself."""
-    predicted, (weights, words, found, raw, inputs) = forward(flat, lists, meta, to)
+    predicted, (weights, words, found, raw, inputs) = forward(flat, lists, meta, to, made_of)
     off = predicted - label
     total = np.zeros_like(flat)
     into = parts(total, to, meta.shape[1])
@@ -159,11 +163,12 @@ def _summed(rows: DataFrame, flat: np.ndarray, scaled, centre: float, spread: fl
 
     def run(batches):
         total, error, n = np.zeros_like(flat), 0.0, 0
+        made_of = tables(flat, to, len(scaled))
         for whole in batches:
             for batch in _pieces(whole):
                 lists, meta = _inputs(batch, scaled)
                 label = (np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.float64) - centre) / spread
-                g, e = gradient(flat, lists, meta, label, to)
+                g, e = gradient(flat, lists, meta, label, to, made_of)
                 total += g
                 error += e
                 n += batch.num_rows
@@ -222,10 +227,11 @@ def predicted(rows: DataFrame, model: Model, meta: list[str], to: Settings = Set
     """``(post_id, split, label, prediction)``."""
 
     def run(batches):
+        made_of = tables(model.flat, to, len(model.scaled))
         for whole in batches:
             for batch in _pieces(whole):
                 lists, own = _inputs(batch, model.scaled)
-                made, _ = forward(model.flat, lists, own, to)
+                made, _ = forward(model.flat, lists, own, to, made_of)
                 columns = [*batch.columns[-2:], batch.column(0), pa.array(made * model.spread + model.centre)]
                 yield pa.RecordBatch.from_arrays(columns, ["post_id", "split", "label", "prediction"])
 

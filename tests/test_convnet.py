@@ -86,3 +86,16 @@ def test_no_training_rows(spark):
     rows = corpus(spark, 8)
     model = convnet.fit(rows.filter("false"), [], Settings(places=512, steps=1))
     assert len(convnet.predicted(rows, model, [], Settings(places=512, steps=1)).collect()) == 8
+
+
+def test_tables_made_once_give_the_same_gradient():
+    """A task makes the words' responses once for all its pieces; ties go to the first place."""
+    lists, meta, label = sample(rows=40)
+    flat = convnet.first(SMALL, 2)
+    made_of = convnet.tables(flat, SMALL, 2)
+    whole, error = convnet.gradient(flat, lists, meta, label, SMALL)
+    pieces = [convnet.gradient(flat, lists[i : i + 7], meta[i : i + 7], label[i : i + 7], SMALL, made_of) for i in range(0, 40, 7)]
+    assert sum(g for g, _ in pieces) == pytest.approx(whole) and sum(e for _, e in pieces) == pytest.approx(error)
+    same = pa.array([[5, 6, 7, 8, 5, 6, 7, 8]], pa.list_(pa.int32()))
+    _, (_, words, found, _, _) = convnet.forward(flat, same, np.zeros((1, 2)), SMALL, made_of)
+    assert all((place < 4).all() for _, place in found)
