@@ -19,6 +19,8 @@ from ..functions import html
 from ..session import written
 from .pages import BOARD, Layout
 
+#: Characters of pages that are dealt to one task, more only if a page is longer.
+PART = 4_000_000
 TOKEN = r"(?s)<!--.*?-->|<[a-zA-Z/!][^>]*>|[^<]+|<"
 OPENING, CLOSING = r"^<([a-zA-Z][a-zA-Z0-9]*)", r"^</([a-zA-Z][a-zA-Z0-9]*)"
 # Elements that have no content.
@@ -40,14 +42,28 @@ def _spread(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.inline(F.get(F.transform(F.array(tokens(F.col("html"))), tags), F.lit(0))))
 
 
+def _parts(pages: DataFrame) -> int:
+    """Number of parts that ``pages`` and what is made of them are dealt into, so that a part does not grow with the table."""
+    length = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    return max(pages.sparkSession.sparkContext.defaultParallelism, length // PART + 1)
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "page_id")
+
+
 def elements(pages: DataFrame) -> DataFrame:
-    """``(page_id, start, stop, name, tag)`` of all elements; ``stop`` is the place of the closing tag."""
+    """``(page_id, start, stop, name, tag)`` of all elements; ``stop`` is the place of the closing tag.
+
+    ``pages`` is read twice and should be a stored table.
+    """
     token = F.lower("token")
     opened, closed = F.regexp_extract(token, OPENING, 1), F.regexp_extract(token, CLOSING, 1)
     name = F.when(opened != "", opened).otherwise(closed)
     alone = name.isin(VOID) | F.col("token").endswith("/>")
     step = F.when(opened != "", F.when(alone, 0).otherwise(1)).otherwise(F.when(alone, 0).otherwise(-1))
-    tags = _spread(pages).withColumns({"name": name, "step": step}).filter("name <> '' and (step <> 0 or not startswith(token, '</'))")
+    # All windows are within a page, so tags are dealt by page once.
+    tags = _dealt(_spread(pages), _parts(pages)).withColumns({"name": name, "step": step}).filter("name <> '' and (step <> 0 or not startswith(token, '</'))")
     in_name = Window.partitionBy("page_id", "name").orderBy("place")
     running = F.sum("step").over(in_name)
     placed = tags.withColumn("running", running).withColumn("low", F.least(F.min("running").over(in_name), F.lit(0)))
@@ -72,7 +88,9 @@ def bodies(pages: DataFrame, layout: Layout = BOARD) -> DataFrame:
     holds it. Null where there is no start, no footer, or the parent begins before the start. ``pages``
     is read several times and should be a stored table.
     """
-    every = written(elements(pages))
+    # All joins are by page: their sides are dealt alike, and so sorted in small parts.
+    parts = _parts(pages)
+    every, pages = _dealt(written(elements(pages)), parts), _dealt(pages, parts)
     last = every.filter(has_class(F.col("tag"), layout.body_start)).groupBy("page_id").agg(F.max("start").alias("begin"))
     texts = F.transform(tokens(F.col("html")), lambda t, i: F.struct(i.alias("place"), t.alias("text")))
     footers = F.filter(texts, lambda x: (~x["text"].startswith("<")) & x["text"].rlike(layout.footer))

@@ -101,3 +101,13 @@ def test_bodies_of_rendered_pages_equal_the_pattern(spark):
     by_pattern = {r["page_id"]: r["content"] for r in pages.page_bodies(shown, pages.BOARD).collect()}
     by_interval = {r["page_id"]: r["content"] for r in elements.bodies(shown).collect()}
     assert by_interval == by_pattern and len(by_interval) > 190
+
+
+def test_a_task_sorts_no_more_as_pages_get_more(spark, monkeypatch):
+    """Parts are as many as the pages' characters ask for; the elements are the same."""
+    page = "<div><p>a<b>x</b></p></div>" * 20
+    df = spark.createDataFrame([(i, page) for i in range(40)], "page_id long, html string")
+    few = {tuple(r) for r in elements.elements(df).collect()}
+    monkeypatch.setattr(elements, "PART", len(page))
+    many = elements.elements(df)
+    assert many.rdd.getNumPartitions() == 41 and {tuple(r) for r in many.collect()} == few and len(few) == 40 * 60
