@@ -2,10 +2,12 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postsignal.operators import encode, filters, keywords, ranking, split
+from postsignal.functions import text
+from postsignal.operators import encode, filters, keywords, packets, ranking, split
 from postsignal.sources.posts import write_epochs
 
 
@@ -184,3 +186,40 @@ def test_ordered_rank_with_a_hot_first_column(spark, hot):
     assert [(r["a"], r["b"]) for r in got] == sorted(rows)
     assert [r["rank"] for r in got] == list(range(1, 501))
     assert ranking.ordered_rank(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_a_packet_asks_for_each_of_its_terms_once(spark):
+    """Posts that share their words: the vocabulary meets a row per term of a packet, not per term and post."""
+    docs = contents(spark, [f"aa bb cc aa w{i % 7}" for i in range(400)] + [None, ""], "cleaned").coalesce(1)
+    held = packets.packed(docs, text.encoder_words(F.col("cleaned")))
+    assert held.select(F.explode("terms")).count() == 10
+    vocab = encode.vocabulary(docs)
+    ids = {r["term"]: r["term_id"] for r in vocab.collect()}
+    coded = encode.encoded_docs(docs, vocab)
+    asked = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert "positions" not in asked  # places of a post's terms are neither shuffled nor sorted
+    got = {r["post_id"]: r["word_ids"] for r in coded.collect()}
+    assert got[400] == got[401] == []
+    assert all(got[i] == [ids[w] for w in f"aa bb cc aa w{i % 7}".split()] for i in range(400))
+
+
+def test_packets_are_cut_between_posts(spark, monkeypatch):
+    monkeypatch.setattr(packets, "PACKET", 5)
+    assert packets._cut(np.array([3, 1, 9, 0, 2, 5])) == [(0, 3), (3, 5), (5, 6)]
+    assert packets._cut(np.array([], np.int64)) == []
+    texts = [" ".join("abcdefgh"[: i % 9]) for i in range(50)]
+    docs = contents(spark, texts, "cleaned")
+    vocab = spark.createDataFrame([(c, i) for i, c in enumerate("abcdefg", 1)], "term string, term_id long")
+    got = {r["post_id"]: r["word_ids"] for r in encode.encoded_docs(docs, vocab).collect()}
+    assert got == {i: [" abcdefg".find(c) if c != "h" else 0 for c in t.split()] for i, t in enumerate(texts)}
+    assert encode.encoded_docs(docs.limit(0), vocab).count() == 0
+    shuffled = docs.orderBy(F.desc("post_id"))
+    first = [{tuple(r)[:2] for r in encode.vocabulary(d).collect()} for d in (shuffled, encode.tokenized(shuffled))]
+    assert first[0] == first[1] and len(first[0]) == 8
+
+
+def test_rows_of_one_identifier_are_put_together(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b c a"), (2, "c"), (None, "a")], "post_id long, cleaned string")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "term string, term_id long")
+    got = sorted((r["post_id"] or 0, r["word_ids"]) for r in encode.encoded_docs(docs, vocab).collect())
+    assert got == [(0, []), (1, [1, 2, 2, 3, 1]), (1, [1, 2, 2, 3, 1]), (2, [3])]
