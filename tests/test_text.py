@@ -34,6 +34,22 @@ def test_words_are_two_or_more_characters(spark):
     assert column(spark, ["A bc D_e É1 éa, x-yz 新聞"], text.words) == [["bc", "d_e", "é1", "éa", "yz", "新聞"]]
 
 
+def test_paired_words_in_one_pass_are_the_words_of_the_pairs(spark):
+    rng = random.Random(6)
+    drawn = ["".join(rng.choice("台北市々〇⺀㐀𠀀aBé1_ ,'ΣβİX\n") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    given = ["ΑΣ々Β台", "a台北b cd市", "台", "𠀀𠀁𠀂x", "", None, "plain Words_1 x"] + drawn
+    assert column(spark, given, text.paired_words) == column(spark, given, lambda c: text.words(text.paired(c)))
+
+
+def test_default_tokens_look_at_a_text_once(spark):
+    from postsignal.operators import keywords
+
+    plan = spark.range(1).select(F.lit("台北市").alias("content")).select(keywords.default_tokens())
+    assert plan.first()[0] == ["台北", "北市"]
+    shown = spark.createDataFrame([("x",)], "content string").select(keywords.default_tokens())._jdf.queryExecution().analyzed().toString()
+    assert "$1$2" not in shown  # pairs are not written into the text first
+
+
 def test_term_frequencies_and_places_against_counting(spark):
     rng = random.Random(5)
     docs = [[rng.choice("abcde") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))] for _ in range(40)]
