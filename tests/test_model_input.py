@@ -223,3 +223,20 @@ def test_rows_of_one_identifier_are_put_together(spark):
     vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "term string, term_id long")
     got = sorted((r["post_id"] or 0, r["word_ids"]) for r in encode.encoded_docs(docs, vocab).collect())
     assert got == [(0, []), (1, [1, 2, 2, 3, 1]), (1, [1, 2, 2, 3, 1]), (2, [3])]
+
+
+def test_weights_of_repeated_and_missing_identifiers_are_one_vector(spark):
+    rows = [(1, "aa bb"), (1, "bb cc cc"), (2, "aa"), (None, "cc"), (None, "bb")]
+    got = keywords.tfidf_weights(spark.createDataFrame(rows, "post_id long, content string")).collect()
+    assert len(got) == 7 and {r["term"]: r["df"] for r in got} == {"aa": 2, "bb": 3, "cc": 2}
+    for i in (1, 2, None):
+        own = [(r["tf"] * (math.log(6 / (1 + r["df"])) + 1), r["weight"]) for r in got if r["post_id"] == i]
+        norm = math.sqrt(sum(x * x for x, _ in own))
+        assert [w for _, w in own] == pytest.approx([x / norm for x, _ in own])
+
+
+def test_weights_move_no_rows_of_posts_and_terms(spark):
+    """Terms of 300 posts are asked for once a packet, and nothing is sorted by post."""
+    posts = contents(spark, [f"hot aa bb w{i % 5}" for i in range(300)]).coalesce(1)
+    plan = keywords.tfidf_weights(posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "cogroup" in plan.lower()
